@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, html_extract, language_id, license_scan, line_dedup
+from tidemark.llm import exact_dedup, html_extract, language_id, license_scan, line_dedup, topk_search, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_topk_search": topk_search.op5_topk_search,
+    "op6_warc": warc.op6_warc,
     "op10_html_extract": html_extract.op10_html_extract,
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_topk_search": topk_search.ORACLE_SQL,
+    "op6_warc": warc.ORACLE_SQL,
 }
