@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, packing, topk_search, warc
+from tidemark.llm import exact_dedup, html_extract, language_id, license_scan, line_dedup, minhash_dedup, mixing, packing, topk_search, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_topk_search": topk_search.op5_topk_search,
     "op6_warc": warc.op6_warc,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_html_extract": html_extract.op10_html_extract,
 }
