@@ -27,7 +27,6 @@ REACH_QUANTILE, REACH_FACTOR = 0.995, 1.15
 #: Texts with fewer letters have too few n-grams for their distance to mean something; they are never rejected.
 REJECT_FROM = 200
 UNKNOWN = "und"
-SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, distance double, rejected boolean"
 
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -117,30 +116,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(idf, centroids, languages, np.minimum(1.0, REACH_FACTOR * reach))
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of SCHEMA for each row of ``docs``.
+def predicted(model: Model | None, text: Column) -> Column:
+    """Struct of lang_pred, score, distance and rejected of the column ``text``; a vectorised function of whole texts.
 
     ``und``, score 0 and rejected false for null texts, texts without a letter, and all texts if nothing was learned.
     """
-    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "lang_pred": UNKNOWN, "score": 0.0, "distance": 1.0, "rejected": False})
-            known = np.flatnonzero(frame["text"].notna()) if model is not None else []
-            for part in np.array_split(known, max(1, -(-len(known) // 500))):
-                if not len(part):
-                    continue
-                counted = np.stack([counts(t) for t in frame["text"].iloc[part]])
-                best, score = model.nearest(counted)
-                rows = out.index[part]
-                out.loc[rows, "lang_pred"] = [model.languages[b] for b in best]
-                out.loc[rows, "score"] = score.astype(float)
-                out.loc[rows, "distance"] = 1 - score.astype(float)
-                out.loc[rows, "rejected"] = (1 - score > model.reach[best]) & (counted.sum(axis=1) >= 3 * REJECT_FROM)
-            yield out
-
-    return asked.mapInPandas(batches, SCHEMA)
+    @F.pandas_udf("lang_pred string, score double, distance double, rejected boolean")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        n = len(texts)
+        lang, score, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, bool)
+        known = np.flatnonzero(texts.notna()) if model is not None else np.zeros(0, int)
+        for at in range(0, len(known), 500):
+            rows = known[at : at + 500]
+            counted = np.stack([counts(t) for t in texts.iloc[rows]])
+            best, cosine = model.nearest(counted)
+            lang[rows] = np.array(model.languages, object)[best]
+            score[rows] = cosine
+            rejected[rows] = (1 - cosine > model.reach[best]) & (counted.sum(axis=1) >= 3 * REJECT_FROM)
+        return pd.DataFrame({"lang_pred": lang, "score": score, "distance": 1 - score, "rejected": rejected})
+
+    return of(F.when(text.rlike(r"\p{L}"), text))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -150,7 +146,20 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated rows are each predicted; an empty table gives no rows; other columns are ignored, whatever their names. Of
     equally near centroids the first by language wins.
     """
-    return predict(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
+    model = train(docs, id_col, text_col, lang_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), predicted(model, F.col(text_col)).alias("p")).select("doc_id", "held_out", "p.*")
+
+
+def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns as they were, that a model of their own labels takes for a language that it knows.
+
+    Rejected are texts far from every centroid, and null texts and texts without a letter. With nothing learned, none is.
+    """
+    model = train(docs, id_col, text_col, lang_col)
+    if model is None:
+        return docs
+    p = predicted(model, F.col(text_col))
+    return docs.where(~p["rejected"] & (p["lang_pred"] != UNKNOWN))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,15 +75,16 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), differ <= 1).when(F.size(a) == F.size(b) + 1, without(a, b)).when(F.size(b) == F.size(a) + 1, without(b, a)).otherwise(False)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_kept, n_near, clean_text.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_kept, n_near, clean_text; with ``carry``, these columns as a struct ``row``.
 
     Lines end at newlines. Blank lines are kept and compare with nothing. Null text: no lines, null clean_text; empty text:
     one blank line. Rows with a null id keep all their lines and drop no others. Rows that share an id count as one document
     whose line numbers coincide. n_near counts the lines that went for a line one edit away, copies of equal lines not
     included. Empty table: no rows. Other columns are ignored, whatever their names.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in carry or [id_col]))
+    docs = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id IS NOT NULL")
     lines = known.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     lines = lines.withColumn("words", _words(F.col("line"))).withColumn("n", F.size("words"))
@@ -99,7 +100,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     halves = firsts.select("doc_id", "pos", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
     asked = halves.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    by_line = known.select("doc_id", F.split("text", "\n").alias("lines"))
+    by_line = known.select("row", "doc_id", F.split("text", "\n").alias("lines"))
     close = written(
         by_line.join(asked, "doc_id").select("doc_id", F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), _words(F.get("lines", p)).alias("words")))).alias("x")).select("doc_id", "x.pos", "x.words").where("words IS NOT NULL")
     )
@@ -114,12 +115,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kept = firsts.select("doc_id", "pos").join(near, ["doc_id", "pos"], "left").groupBy("doc_id").agg(F.collect_list(F.when(F.col("near").isNull(), F.col("pos"))).alias("at"), F.count("near").alias("n_near"))
     blank = lambda xs: F.filter(F.transform(xs, lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
-    some = by_line.join(kept, "doc_id", "left").select("doc_id", "lines", F.array_sort(F.array_distinct(F.concat(F.coalesce("at", F.array().cast("array<int>")), blank(F.col("lines"))))).alias("at"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
-    some = some.select("doc_id", F.size("lines").alias("size"), F.filter(F.transform("at", lambda p: F.get("lines", p)), lambda x: x.isNotNull()).alias("lines"), F.col("n_near"))
-    some = some.select("doc_id", F.greatest("size", F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_kept"), F.col("n_near").cast("long").alias("n_near"), F.array_join("lines", "\n").alias("clean_text"))
+    some = by_line.join(kept, "doc_id", "left").select("row", "doc_id", "lines", F.array_sort(F.array_distinct(F.concat(F.coalesce("at", F.array().cast("array<int>")), blank(F.col("lines"))))).alias("at"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    some = some.select("row", "doc_id", F.size("lines").alias("size"), F.filter(F.transform("at", lambda p: F.get("lines", p)), lambda x: x.isNotNull()).alias("lines"), F.col("n_near"))
+    some = some.select("row", "doc_id", F.greatest("size", F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_kept"), F.col("n_near").cast("long").alias("n_near"), F.array_join("lines", "\n").alias("clean_text"))
     count = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    rest = docs.where("doc_id IS NULL").select("doc_id", F.greatest(count, F.lit(0)).cast("long").alias("n_lines"), F.greatest(count, F.lit(0)).cast("long").alias("n_kept"), F.lit(0).cast("long").alias("n_near"), F.col("text").alias("clean_text"))
-    return some.unionByName(rest)
+    rest = docs.where("doc_id IS NULL").select("row", "doc_id", F.greatest(count, F.lit(0)).cast("long").alias("n_lines"), F.greatest(count, F.lit(0)).cast("long").alias("n_kept"), F.lit(0).cast("long").alias("n_near"), F.col("text").alias("clean_text"))
+    out = some.unionByName(rest)
+    return out if carry else out.drop("row")
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the texts that line_dedup leaves, and their length in ``chars_col`` if there is such a column.
+
+    A document with no line left but blank ones goes, if it had others. Other columns stay as they were.
+    """
+    rest = [c for c in docs.columns if c != text_col]
+    cleaned = line_dedup(docs, id_col, text_col, carry=rest).where((F.col("n_kept") == F.col("n_lines")) | F.col("clean_text").rlike(r"\S"))
+    new = {text_col: F.col("clean_text"), chars_col: F.length("clean_text").cast("long")}
+    return cleaned.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.select("mix_row", "mix_epoch", _hash(seed + 2, "source", "mix_epoch", "block").alias("mix_block"), F.col("n_tokens").alias("mix_tokens"))
 
 
+def mixed(docs: DataFrame, repetition_limit: float = REPETITION_LIMIT, **columns: str) -> DataFrame:
+    """The rows of ``docs``, each as often as the mixture uses it and at least once, all columns as they were."""
+    return mix(docs, repetition_limit=repetition_limit, **columns).select("mix_row.*")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``, no source used more than REPETITION_LIMIT times as often as another, no document dropped."""
     docs = table(spark, sf_dir, "documents")
