@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidemark.plans import market
+
+QUERIES: dict = {**market.QUERIES}
+ORACLE: dict[str, str] = {**market.ORACLE}
 FLAGSHIP = "event_heat_features"
