@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market
+from tidemark.plans import market, retrieval
 
-QUERIES: dict = {**market.QUERIES}
-ORACLE: dict[str, str] = {**market.ORACLE}
+QUERIES: dict = {**market.QUERIES, **retrieval.QUERIES}
+ORACLE: dict[str, str] = {**market.ORACLE, **retrieval.ORACLE}
 FLAGSHIP = "event_heat_features"

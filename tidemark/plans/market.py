@@ -8,22 +8,10 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import timeseries as ts
 from tidemark.operators.joins import keep_one
+from tidemark.plans.registry import registry
 from tidemark.sources import table
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 def r6(c, name: str):
