@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, retrieval
+from tidemark.plans import market, retrieval, scoring
 
-QUERIES: dict = {**market.QUERIES, **retrieval.QUERIES}
-ORACLE: dict[str, str] = {**market.ORACLE, **retrieval.ORACLE}
+QUERIES: dict = {**market.QUERIES, **retrieval.QUERIES, **scoring.QUERIES}
+ORACLE: dict[str, str] = {**market.ORACLE, **retrieval.ORACLE, **scoring.ORACLE}
 FLAGSHIP = "event_heat_features"
