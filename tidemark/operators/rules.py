@@ -146,12 +146,12 @@ def profitability(series: DataFrame, key: str, period: str, value: str) -> DataF
     return out.withColumn("is_unprofitable", unprofitable).withColumn("status", F.when(F.col("_latest").isNull(), "unknown").when(F.col("is_unprofitable"), "unprofitable").otherwise("profitable")).drop("_latest", "_all", "_years")
 
 
-def burn_scenarios(rows: DataFrame, outflow: str, months: str, cash: str) -> DataFrame:
+def burn_scenarios(rows: DataFrame, outflow: str, months: str, cash: str, digits: int = 2) -> DataFrame:
     """Each row under each scenario: monthly_burn, runway_months (null for no burn), sensitive (the burn rates differ by over half)."""
     spark = rows.sparkSession
     s = F.broadcast(spark.createDataFrame(list(SCENARIOS), "scenario string, factor double"))
     burn = F.col(outflow) * F.col("factor") / F.greatest(F.col(months), F.lit(1))
-    out = rows.crossJoin(s).withColumn("monthly_burn", F.round(burn, 2)).withColumn("runway_months", F.when(burn > 0, F.round(F.col(cash) / burn, 2)))
+    out = rows.crossJoin(s).withColumn("monthly_burn", F.round(burn, digits)).withColumn("runway_months", F.when(burn > 0, F.round(F.col(cash) / burn, digits)))
     factors = [f for _, f in SCENARIOS]
     return out.withColumn("sensitive", (F.col(outflow) > 0) & F.lit((max(factors) - min(factors)) / max(factors) > 0.5))
 

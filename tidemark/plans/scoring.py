@@ -89,23 +89,23 @@ def legal_scoring(spark, sf_dir):
 
 @query(f"""WITH {SCORED}, x AS (SELECT id, least(100, 0.45 * least(100, len(codes) * 2) + 0.55 * risk_score)::DOUBLE AS fundamental, greatest(0, least(100, 50 + c_acctbal / 200))::DOUBLE AS sentiment FROM scored JOIN customer ON c_custkey = id),
   y AS (SELECT *, greatest(0, least(100, 0.65 * fundamental + 0.35 * (100 - sentiment))) AS overall FROM x)
-  SELECT id, round(fundamental, 6) AS fundamental, round(100 - sentiment, 6) AS sentiment_risk, round(overall, 6) AS overall_score, {LEVEL.format('overall')} AS overall_level FROM y""")
+  SELECT id, round(fundamental, 9) AS fundamental, round(100 - sentiment, 9) AS sentiment_risk, round(overall, 9) AS overall_score, {LEVEL.format('overall')} AS overall_level FROM y""")
 def fused_risk(spark, sf_dir):
     """Fundamental and inverted sentiment, weighted and clamped."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
     x = scored(spark, sf_dir).join(c, "id").withColumn("fundamental", rules.fundamental_score(F.least(F.lit(100.0), F.length("codes") * 2.0), F.col("risk_score"))).withColumn("sentiment", rules.clamp(50 + F.col("c_acctbal") / 200))
     overall = rules.fused_score(F.col("fundamental"), F.col("sentiment"))
-    return x.select("id", F.round("fundamental", 6).alias("fundamental"), F.round(100 - F.col("sentiment"), 6).alias("sentiment_risk"), F.round(overall, 6).alias("overall_score"), rules.level(overall).alias("overall_level"))
+    return x.select("id", F.round("fundamental", 9).alias("fundamental"), F.round(100 - F.col("sentiment"), 9).alias("sentiment_risk"), F.round(overall, 9).alias("overall_score"), rules.level(overall).alias("overall_level"))
 
 
-@query("""WITH o AS (SELECT o_custkey AS id, sum(o_totalprice) AS outflow, count(DISTINCT date_trunc('month', o_orderdate)) AS months FROM orders GROUP BY 1)
-  SELECT id, scenario, round(outflow * factor / greatest(months, 1), 2) AS monthly_burn, CASE WHEN outflow > 0 THEN round(c_acctbal / (outflow * factor / greatest(months, 1)), 2) + 0 END AS runway_months, outflow > 0 AS sensitive
+@query("""WITH o AS (SELECT o_custkey AS id, round(sum(o_totalprice), 2) AS outflow, count(DISTINCT date_trunc('month', o_orderdate)) AS months FROM orders GROUP BY 1)
+  SELECT id, scenario, round(outflow * factor / greatest(months, 1), 8) AS monthly_burn, CASE WHEN outflow > 0 THEN round(c_acctbal / (outflow * factor / greatest(months, 1)), 8) + 0 END AS runway_months, outflow > 0 AS sensitive
   FROM o JOIN customer ON c_custkey = id, (VALUES ('optimistic', 0.7::DOUBLE), ('neutral', 1.0::DOUBLE), ('pessimistic', 1.5::DOUBLE)) s(scenario, factor)""")
 def burn_sensitivity(spark, sf_dir):
     """Three scenarios of the burn rate. No burn: null runway."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum("o_totalprice").alias("outflow"), F.countDistinct(F.trunc("o_orderdate", "month")).alias("months"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.round(F.sum("o_totalprice"), 2).alias("outflow"), F.countDistinct(F.trunc("o_orderdate", "month")).alias("months"))
     rows = o.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), "id")
-    return rules.burn_scenarios(rows, "outflow", "months", "c_acctbal").select("id", "scenario", "monthly_burn", "runway_months", "sensitive")
+    return rules.burn_scenarios(rows, "outflow", "months", "c_acctbal", 8).select("id", "scenario", "monthly_burn", "runway_months", "sensitive")
 
 
 @query(f"""WITH {LISTINGS}, g AS (SELECT o_custkey, segment, [CASE WHEN return_1 IS NULL THEN 'return_1' END, CASE WHEN base_value < 50000 THEN 'base' END] AS hard,
