@@ -67,7 +67,8 @@ def clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     for _ in range(rounds):
         own = (vectors @ centroids.T).argmax(axis=1)
         sums = np.stack([vectors[own == i].sum(axis=0) for i in range(len(centroids))])
-        centroids = sums[(own[None] == np.arange(len(sums))[:, None]).sum(axis=1) >= max(1, len(vectors) // 50)]
+        sizes = np.bincount(own, minlength=len(sums))
+        centroids = sums[sizes >= min(sizes.max(), max(3, len(vectors) // 50))]  # a stray text is no kind of its own
         centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
     return centroids
 
