@@ -48,8 +48,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("recipe", "only_sha")
         .agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     )
+    # By one expression more than the groups are dealt by: the join then has exchanges of its own, whose large partitions, those of
+    # hot groups of copies, Spark may split.
     d, g = recipes.alias("d"), groups.alias("g")
-    same = (F.col("d.recipe") == F.col("g.recipe")) & (F.col("g.only_sha").isNull() | (F.col("g.only_sha") == F.col("d.text_sha256")))
+    same = (F.col("d.recipe") == F.col("g.recipe")) & (F.size("d.recipe") == F.size("g.recipe")) & (F.col("g.only_sha").isNull() | (F.col("g.only_sha") == F.col("d.text_sha256")))
     return d.join(g, same).select("d.doc_id", "g.keep_id", "g.group_size", F.col("d.doc_id").eqNullSafe(F.col("g.keep_id")).alias("kept"), "d.text_sha256")
 
 
