@@ -75,7 +75,7 @@ def json_text(x: Column) -> Column:
     """The JSON of a fenced block, or from the first brace to the last; the text as it is if there is neither."""
     fenced = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
-    return F.when(fenced != "", F.trim(fenced)).when(braces != "", braces).otherwise(x)
+    return F.when(fenced != "", F.regexp_replace(fenced, r"^\s+|\s+$", "")).when(braces != "", braces).otherwise(x)
 
 
 def whole_array(x: Column) -> Column:

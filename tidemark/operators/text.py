@@ -162,8 +162,9 @@ def near_key(text: Column | str, n: int = 80) -> Column:
 
 def label_row(cell: Column | str, label: str) -> Column:
     """Whether a cell is the label: equal, with a footnote number after it, or at the start of a line."""
+    c = F.col(cell) if isinstance(cell, str) else cell
     quoted = r"\Q" + label.replace(r"\E", r"\E\\E\Q") + r"\E"
-    return (F.trim(cell) == label) | F.col(cell).rlike(rf"^\s*{quoted}\s*[(\[]?\d{{1,2}}[)\]]?\s*$") | F.col(cell).rlike(rf"(?m)^\s*{quoted}")
+    return (F.trim(c) == label) | c.rlike(rf"^\s*{quoted}\s*[(\[]?\d{{1,2}}[)\]]?\s*$") | c.rlike(rf"(?m)^\s*{quoted}")
 
 
 def all_groups_hit(text: Column | str, groups: Sequence[Sequence[str]]) -> Column:

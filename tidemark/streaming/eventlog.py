@@ -52,9 +52,9 @@ def emitted_order(rows: DataFrame, key: str, seq: str, held: Column, gate: Colum
 
 
 class GatedEmitter(StatefulProcessor):
-    """Emits rows of other kinds at once, and held rows in order once the gate has come; a timer flushes keys without one."""
+    """Emits rows of other kinds at once, and held rows in order once the gate has come; with ``patience_ms`` a timer flushes keys without one."""
 
-    def __init__(self, held: str, gate: str, patience_ms: int = 3_600_000) -> None:
+    def __init__(self, held: str, gate: str, patience_ms: int | None = None) -> None:
         self.held, self.gate, self.patience_ms = held, gate, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -77,7 +77,7 @@ class GatedEmitter(StatefulProcessor):
                 self.waiting.clear()
                 self.is_open.update((True,))
         if waiting:
-            if not self.waiting.exists():
+            if self.patience_ms is not None and not self.waiting.exists():
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
             self.waiting.appendList(waiting)
         yield self._frame(key, out)
@@ -94,6 +94,10 @@ class GatedEmitter(StatefulProcessor):
         pass
 
 
-def gated(stream: DataFrame, held: str, gate: str, patience_ms: int = 3_600_000) -> DataFrame:
-    """``stream``: key string, seq long, kind string, row string. Needs the RocksDB state store."""
-    return stream.groupBy("key").transformWithStateInPandas(GatedEmitter(held, gate, patience_ms), outputStructType="key string, seq long, row string", outputMode="Append", timeMode="ProcessingTime")
+def gated(stream: DataFrame, held: str, gate: str, patience_ms: int | None = None) -> DataFrame:
+    """``stream``: key string, seq long, kind string, row string. Needs the RocksDB state store.
+
+    With ``patience_ms`` the query has processing-time timers; such a query goes on until it is stopped, also with availableNow.
+    """
+    mode = "None" if patience_ms is None else "ProcessingTime"
+    return stream.groupBy("key").transformWithStateInPandas(GatedEmitter(held, gate, patience_ms), outputStructType="key string, seq long, row string", outputMode="Append", timeMode=mode)
