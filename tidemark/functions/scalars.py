@@ -67,7 +67,7 @@ def decode_entities(x: Column) -> Column:
 
 def page_slice(markdown: Column, first: int, last: int, header: str = r"(?m)^## Page (\d+)$") -> Column:
     """The text of the pages first to last of a document with a header line before each page."""
-    pages = F.zip_with(F.regexp_extract_all(markdown, F.lit(header), F.lit(1)), F.slice(F.split(markdown, header), 2, 1_000_000), lambda n, t: F.struct(n.cast("int").alias("n"), F.trim(t).alias("t")))
+    pages = F.zip_with(F.regexp_extract_all(markdown, F.lit(header), F.lit(1)), F.slice(F.split(markdown, header), 2, 1_000_000), lambda n, t: F.struct(n.cast("int").alias("n"), F.regexp_replace(t, r"^\s+|\s+$", "").alias("t")))
     return F.array_join(F.transform(F.filter(pages, lambda p: p["n"].between(first, last)), lambda p: p["t"]), "\n\n")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, profile, retrieval, scoring
+from tidemark.plans import documents, market, profile, retrieval, scoring
 
-QUERIES: dict = {**market.QUERIES, **retrieval.QUERIES, **scoring.QUERIES, **profile.QUERIES}
-ORACLE: dict[str, str] = {**market.ORACLE, **retrieval.ORACLE, **scoring.ORACLE, **profile.ORACLE}
+QUERIES: dict = {**market.QUERIES, **retrieval.QUERIES, **scoring.QUERIES, **profile.QUERIES, **documents.QUERIES}
+ORACLE: dict[str, str] = {**market.ORACLE, **retrieval.ORACLE, **scoring.ORACLE, **profile.ORACLE, **documents.ORACLE}
 FLAGSHIP = "event_heat_features"
