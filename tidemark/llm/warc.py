@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import scratch_dir
+from tidemark.llm.shared import scratch_dir, written
 from tidemark.sources import table
 
 END = "\r\n"
+#: Up to so many revisits (some 100 bytes each) are broadcast to the records; beyond, both are shuffled.
+BROADCAST_REVISITS = 100_000
 #: Records in a file at most: a file is read by one task. None has more than a few payloads at a time in memory.
 RECORDS_PER_FILE = 5000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -130,8 +132,9 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
 def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int = 0) -> None:
     """Reads the archives below ``source`` and writes them to ``target`` with revisits for repeated payloads."""
     read = read_archives(spark, source)
-    revisits = resolve(read, least_bytes).where("refers_to IS NOT NULL").distinct()
-    copies = revisits.select("page_id", "sha256", "refers_to")
+    copies = written(resolve(read, least_bytes).where("refers_to IS NOT NULL").select("page_id", "sha256", "refers_to").distinct())
+    if copies.count() <= BROADCAST_REVISITS:
+        copies = F.broadcast(copies)
     marked = read.drop("refers_to").join(copies, ["page_id", "sha256"], "left").withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
     write_archives(_as_records(marked), target)
 
