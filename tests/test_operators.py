@@ -146,3 +146,31 @@ def test_text_helpers(spark):
     assert one(spark, text.label_row(F.lit("Total assets (5)"), "Total assets")) is True and one(spark, text.label_row(F.lit("No Total assets"), "Total assets")) is False
     grades = quality.graded(spark.createDataFrame([(9.0, False), (9.0, True), (1.0, False)], "s double, bad boolean"), [(F.col("s") > 5, 10.0)], [(F.col("bad"), "C")], [(10.0, "A"), (5.0, "B")], "D")
     assert [r.grade for r in grades.collect()] == ["A", "C", "D"]
+
+
+def test_documents(spark):
+    from tidemark.operators import documents
+
+    toc = spark.createDataFrame([(1, "Contents\nBusiness ........ 12\nFinancial Information……… 318\nnot an entry 7\n"), (2, None)], "doc int, text string")
+    assert [tuple(r) for r in documents.toc_entries(toc, "doc", "text").collect()] == [(1, 0, "Business", 12), (1, 1, "Financial Information", 318)]
+    pairs = spark.createDataFrame([(1, 21, 12), (1, 327, 318), (1, 50, 40)], "doc int, found int, printed int")
+    assert documents.page_offset(pairs, "doc", "found", "printed").first().offset == 9
+    anchors = spark.createDataFrame([(1, 3, "a", "header", 20), (1, 4, "a", "header", 20), (1, 4, "b", "title", 20), (1, 9, "b", "title", 20), (1, 12, "a", "title", 20), (1, 12, "c", "title", 20)], "doc int, page int, section string, kind string, last int")
+    spans = {r.section: (r.start, r.end, r.pages, r.confidence) for r in documents.section_spans(anchors, "doc", "page", "section", "kind", "last").collect()}
+    assert spans == {"a": (3, 8, 2, 0.95), "b": (9, 20, 1, 0.8)}
+    sums = documents.complete_sum(spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 1.0), (2, None), (3, 5.0)], "k int, v double"), ["k"], "v")
+    assert {r.k: r.total for r in sums.collect()} == {1: 3.0, 2: None, 3: None}
+    table = documents.report(spark.createDataFrame([(1, None), (2, "a|b")], "n int, t string").orderBy("n"), "Rows", ["n", "t"])
+    assert table.splitlines()[2:] == ["| n | t |", "| --- | --- |", "| 1 | — |", "| 2 | a\\|b |"]
+    assert one(spark, documents.adjusted(F.lit(1.0), [(F.lit(True), 2.0), (F.lit(None).cast("boolean"), 5.0)])) == 3.0
+
+
+def test_spans_and_points(spark):
+    points = spark.createDataFrame([(1, 5), (1, 200), (1, 99), (2, 5), (1, None)], "doc int, page int")
+    spans = spark.createDataFrame([(1, 1, 98, "a"), (1, 100, 300, "b"), (1, 9, 8, "empty")], "doc int, start int, stop int, name string")
+    out = {(r.doc, r.page): r.name for r in joins.points_in_spans(points, "page", spans, "start", "stop", ["doc"]).collect()}
+    assert out == {(1, 5): "a", (1, 200): "b", (1, 99): None, (2, 5): None, (1, None): None}
+    clusters = islands.interval_clusters(spark.createDataFrame([(1, 1, 5), (1, 2, 3), (1, 5, 6), (1, 8, 9), (2, 1, 1)], "k int, lo int, hi int"), ["k"], "lo", "hi")
+    assert sorted((r.k, r.lo, r.cluster) for r in clusters.collect()) == [(1, 1, 0), (1, 2, 0), (1, 5, 0), (1, 8, 1), (2, 1, 0)]
+    names = spark.createDataFrame([(1, 0, "2024"), (1, 1, "2024"), (1, 2, "2025")], "d int, pos int, y string")
+    assert [r.s for r in names.select("pos", islands.suffixed(names, ["d"], "pos", "y").alias("s")).orderBy("pos").collect()] == ["2024", "2024_i1", "2025"]
