@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; one is made only where none is set, as in tests."""
+    context = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(there or tempfile.mkdtemp(prefix="tidemark-"))
     if there:
         return there
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -25,6 +25,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes the tables that ``written`` has left in the scratch folder. For when no result that was made from them is still to be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder, its lineage cut. For wider tables."""
     spark = df.sparkSession
