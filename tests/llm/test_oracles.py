@@ -111,7 +111,7 @@ def test_tokens_by_word_are_whole_texts():
 
     path = packing.default_tokenizer()
     encode, tokens = Tokenizer.from_file(path), packing.Tokens(path)
-    odd = ["It's  a\ttab\nand\r\nline", "<|startoftext|> mark <|endoftext|>x", " nbsp em", "ÀÉÎ ΣΑΣ straße ﬁ", "é ́", "", " ", "1234 5-6 a.b,c", "\x1c\x1d x\x85y"]
+    odd = ["It's  a\ttab\nand\r\nline", "<|startoftext|> mark <|endoftext|>x", " nbsp em", "ÀÉÎ ΣΑΣ straße ﬁ", "é ́", "", " ", "1234 5-6 a.b,c", "\x1c\x1d x\x85y", "End. Two, three.\nFour), five.. six,.", "3. x²., y_. z", "İstanbul, ǅ. ßẞ, ÉÉ ﬀ", "<|STARTOFTEXT|> Up", "ΑΣ. Ab", "a\u0301. \u0301, x"]
     assert [np.frombuffer(b, "<u4").tolist() for b in tokens.ids(odd)] == [encode.encode(t, add_special_tokens=False).ids for t in odd]
 
 

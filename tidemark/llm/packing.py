@@ -9,6 +9,8 @@ sequence with the smallest gap that takes them, or to a new one.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,24 +28,30 @@ END_ID = 0
 #: Pieces of a shard, which one task packs.
 SHARD = 8000
 #: Words whose ids a Python worker keeps; beyond that it starts anew.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 #: Characters of text tokenised at a time.
 AT_ONCE = 2_000_000
 
+#: A stop or comma that ends a word.
+_STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
 _tokenizers: dict[str, Tokens] = {}
 
 
 class Tokens:
-    """Ids of texts by a tokenizer that never joins what white space parts, so that a word's ids can be kept for its next use.
+    """Ids of texts by a tokenizer that lower-cases and never joins what white space parts, so that a word's ids can be kept.
 
-    Unknown words are encoded together, parted by the special token ``mark``, which the tokenizer cuts out before all else.
+    Unknown words are encoded together: plain ones parted by spaces, where tokens that end a word show the seams, all others by
+    the special token ``mark``, which the tokenizer cuts out before all else.
     """
 
-    def __init__(self, path: str, mark: str = "<|startoftext|>") -> None:
+    def __init__(self, path: str, mark: str = "<|startoftext|>", suffix: str = "</w>") -> None:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path)
         self.mark, self.mark_id = mark, self.encode.token_to_id(mark)
+        vocabulary = self.encode.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     @staticmethod
@@ -53,29 +61,51 @@ class Tokens:
             _tokenizers[path] = Tokens(path)
         return _tokenizers[path]
 
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """Parts whose ids, put together, are the text's: what spaces and line ends part, and single stops and commas after a word.
+
+        Where lower-casing here could differ from the tokenizer's, a text is left as it is.
+        """
+        if "<|" not in text and (text.isascii() or "Σ" not in text and unicodedata.is_normalized("NFC", text)):
+            text = text.lower()
+        return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.encode.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _keep(self, words: list[str], data: bytes, ends: np.ndarray, gap: int) -> None:
+        begin = 0
+        for w, end in zip(words, ends.tolist(), strict=True):
+            self.known[w] = data[begin:end]
+            begin = end + gap
+
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        for w in words:
-            if "<|" in w:
-                self.known[w] = np.array(self.encode.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = [w for w in words if w.isalpha() and (w.isascii() or w == w.lower() and unicodedata.is_normalized("NFC", w))]
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
-            ids = np.array(self.encode.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.known[w] = data[begin:end]
-                begin = end + 4
+            ids = self._ids(" ".join(part))
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) == len(part):
+                self._keep(part, ids.tobytes(), ends, 0)
+        for w in (rest := [w for w in words if w not in self.known]):
+            if "<|" in w:
+                self.known[w] = self._ids(w).tobytes()
+        rest = [w for w in rest if "<|" not in w]
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            ids = self._ids(self.mark.join(part))
+            self._keep(part, ids.tobytes(), 4 * np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 4)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.words(t) for t in texts]
         words = set().union(*split)
         if len(self.known) + len(words.difference(self.known)) > KNOWN_WORDS:
             self.known = {"": b""}
         self._learn(sorted(words.difference(self.known)))
         known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        return [b"".join(map(known, parts)) for parts in split]
 
 
 def default_tokenizer() -> str:
