@@ -75,6 +75,18 @@ def test_minhash_chains_and_groups(spark):
         assert {r.doc_id: r.component_id for r in out.collect()} == truth
 
 
+def test_minhash_pairs_within_boilerplate(spark):
+    """Texts that share a passage but too little to be linked, of which every two share a little more, and are."""
+    passage = " ".join(f"w{i}" for i in range(122))
+    rows = {2 * pair + i: " ".join([passage, *(f"p{pair}_{j}" for j in range(4)), *(f"x{pair}_{i}_{j}" for j in range(19))]) for pair in range(80) for i in range(2)}
+    truth = brute_components({i: shingle_set(t) for i, t in rows.items()})
+    assert truth == {i: i // 2 * 2 for i in rows}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    out = minhash_dedup.minhash_dedup(df, whole_bucket=20)
+    missed = sum(r.component_id != truth[r.doc_id] for r in out.collect())
+    assert missed == 0
+
+
 def test_components_of_chains_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (101, 100), (100, 100), (7, 3)]
     out = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -6,8 +6,10 @@
 2. Documents with equal sets are one class (by a 128-bit digest), however many there are; the smallest id stands for it.
 3. Classes with an equal band of coordinates meet in a bucket. They are never paired all with all at once: each class is
    verified against the smallest one it meets; the links give components; what then shares a bucket but no component is verified
-   against the buckets' first and last component, and at last, in the buckets still split, all that is apart, until no two
-   classes of a bucket are both apart and unverified. Linked classes are thus found whole, and copies cost one pair each.
+   against the buckets' first and last component, and at last, in the small buckets still split, all that is apart. What then
+   is apart in larger buckets meets by its rarest shingles (prefix filter): two similar sets have one of them in common, while
+   a passage that many texts quote is among the rarest of none. Linked classes are thus found whole, copies cost one pair each,
+   and no two classes of a bucket stay apart unless their sizes, bitmaps, rarest shingles or sets rule them out.
 4. A pair is verified on its texts' full sets. Only classes that meet another are ever moved with their text.
 """
 
@@ -19,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import checkpointed, written
@@ -31,7 +34,8 @@ BANDS, ROWS = 60, 7
 #: Longs of a set's bitmap. Each place where two bitmaps differ stands for a shingle that only one of the sets has, which bounds
 #: their similarity from above: pairs that cannot be similar enough are known before any text is moved.
 BITMAP = 8
-#: Buckets with at most so many classes may be verified all with all (what is apart); larger ones go on by their ends.
+#: Buckets with at most so many classes may be verified all with all (what is apart); larger ones go on by their ends, and what
+#: is then still apart by its rarest shingles.
 WHOLE_BUCKET = 200
 
 _SPACE = np.zeros(256, bool)
@@ -152,6 +156,36 @@ def _verified(pairs: DataFrame, bodies: DataFrame, words: int, similarity: int)
     return both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long")
 
 
+def _rare_pairs(apart: DataFrame, bodies: DataFrame, words: int, similarity: int) -> DataFrame:
+    """rep, rep_b of all sets of ``apart`` (rep, component) that may be similar and are of two components; an exact filter.
+
+    Shingles are put in one order, those of the fewest sets first. Sets of n and m shingles that are similar have at least
+    c = s / (100 + s) * (n + m) in common, and the first that they have in common, at i in one and j in the other, leaves room
+    for them: min(n - i, m - j) >= c. It thus lies in the first n - c + 1 of each, which holds for the smaller of both with
+    m = n, for the larger one with m at the least size that may be similar.
+    """
+
+    def ordered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for rep, component, text in frame[["rep", "component", "text"]].itertuples(index=False):
+                s = shingles(text, words)
+                out.append((rep, component, int(np.sum(_mix64(s + np.uint64(1)), dtype=np.uint64).view(np.int64)), len(s), s.view(np.int64)))
+            yield pd.DataFrame(out, columns=["rep", "component", "digest", "n", "shingles"])
+
+    sets = apart.join(bodies.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "component", "text").mapInPandas(ordered, "rep long, component long, digest long, n long, shingles array<long>")
+    sets = written(sets.groupBy("rep", "component", "digest", "n").agg(F.any_value("shingles").alias("shingles")))
+    each = sets.select("rep", "component", "digest", "n", F.explode("shingles").alias("shingle"))
+    order = Window.partitionBy("rep", "digest", "n").orderBy("held", "shingle")
+    placed = each.join(each.groupBy("shingle").agg(F.count("*").alias("held")), "shingle").withColumn("at", F.row_number().over(order) - 1)
+    first = written(placed.where(100 * (F.col("n") - F.col("at")) >= similarity * F.col("n")).select("shingle", "rep", "component", "n", "at"))
+    other = first.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "at")))
+    room = (100 + similarity) * F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= similarity * (F.col("n") + F.col("n_b"))
+    small = first.where((100 + similarity) * (F.col("n") - F.col("at")) >= 2 * similarity * F.col("n"))
+    met = small.join(other, "shingle").where((F.col("component") != F.col("component_b")) & (F.struct("n", "rep") < F.struct("n_b", "rep_b")) & (100 * F.col("n") >= similarity * F.col("n_b")) & room)
+    return met.select("rep", "rep_b").distinct()
+
+
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, whole_bucket: int = WHOLE_BUCKET) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach), kept.
 
@@ -198,6 +232,13 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         tested = tested.union(pairs)
         edges = checkpointed(edges.union(_verified(pairs, bodies, words, similarity)))
 
+    large = checkpointed(apart.where(F.col("size") > whole_bucket).select("rep", "component").distinct())
+    if not large.isEmpty():
+        rare = _rare_pairs(large, bodies, words, similarity).join(bits, "rep").join(bits.select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "rep_b").where(possible)
+        pairs = checkpointed(rare.select(F.greatest("rep", "rep_b").alias("a"), F.least("rep", "rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            labels = components(edges.union(_verified(pairs, bodies, words, similarity)))
+
     # Joined by one column more than grouped by: the join then has exchanges of its own, whose large partitions Spark may split.
     several = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.any_value("n").alias("n")).where("rep < last").select("h1", "h2", "n", "rep")
     out = sketches.select("doc_id", "n", "h1", "h2").join(several, ["h1", "h2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
