@@ -174,3 +174,15 @@ def test_spans_and_points(spark):
     assert sorted((r.k, r.lo, r.cluster) for r in clusters.collect()) == [(1, 1, 0), (1, 2, 0), (1, 5, 0), (1, 8, 1), (2, 1, 0)]
     names = spark.createDataFrame([(1, 0, "2024"), (1, 1, "2024"), (1, 2, "2025")], "d int, pos int, y string")
     assert [r.s for r in names.select("pos", islands.suffixed(names, ["d"], "pos", "y").alias("s")).orderBy("pos").collect()] == ["2024", "2024_i1", "2025"]
+
+
+def test_vector_scores_of_many_queries(spark):
+    """More queries than a block has: every query meets every vector."""
+    from tidemark.operators import text
+
+    v = spark.range(600).selectExpr("id", "array(cast(id % 7 as double), cast(id % 11 as double), 1D) AS e")
+    out = text.vector_scores(v, v.where("id < 20"), "id", "id", "e").collect()
+    units = {i: (i % 7, i % 11, 1) for i in range(600)}
+    units = {i: [x / sum(y * y for y in u) ** 0.5 for x in u] for i, u in units.items()}
+    truth = {(q, d): sum(a * b for a, b in zip(units[q], units[d], strict=True)) for q in range(600) for d in range(20)}
+    assert len(out) == len(truth) and all(abs(r.score - truth[r.query_id, r.doc_id]) < 1e-9 for r in out)

@@ -15,6 +15,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 #: Tables that are compared with every row are broadcast, after being counted.
 MOST_TERMS = 10_000
+#: Query vectors of a block, on average, and slots over which the vectors are dealt where there are several blocks.
+QUERY_BLOCK, SLOTS = 256, 16
 
 
 def tokens(text: Column | str) -> Column:
@@ -64,15 +66,26 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) ->
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, query_id: str, vec_id: str, vector: str) -> DataFrame:
-    """query_id, doc_id, score: inner products of the unit vectors (a zero vector counts as it is). Few queries only."""
+    """query_id, doc_id, score: inner products of the unit vectors (a zero vector counts as it is).
+
+    One block of queries is broadcast; more are dealt by hash, and each is copied to the slots over which the vectors are dealt.
+    """
 
     def unit(c: str) -> Column:
         norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
         return F.transform(c, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
-    q = few(queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("q")).withColumn("q", unit("q")), 256)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("q")).withColumn("q", unit("q"))
     v = vectors.select(F.col(vec_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("v", unit("v"))
-    return v.crossJoin(q).select("query_id", "doc_id", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    if blocks == 1:
+        pairs = v.crossJoin(F.broadcast(q))
+    else:
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("slot", every(SLOTS))
+        v = v.withColumn("slot", F.pmod(F.xxhash64("doc_id", "v"), F.lit(SLOTS)).cast("int")).withColumn("block", every(blocks))
+        pairs = v.join(q, ["block", "slot"])
+    return pairs.select("query_id", "doc_id", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def ranked(scores: DataFrame, most: int, digits: int = 9) -> DataFrame:
