@@ -122,6 +122,18 @@ def test_html_edges(spark):
     assert out[1].n_chars == len(out[1].text)
 
 
+def test_html_keeps_every_content_section():
+    """Shorter blocks and articles beside a longer one, and wrappers whose class only mentions a sidebar or comments."""
+    long, short = "many words of a long text " * 120, "other words of a second text " * 14
+    both = " ".join(f"{long}{short}".split())
+    assert html_extract.main_text(f"<body><div><div>{long}</div><div>{short}</div></div></body>") == both
+    assert html_extract.main_text(f"<body><article><p>{long}</article><article><p>{short}</article></body>") == both
+    for name in ("main has-sidebar", "post comments-open", "with-sidebar"):
+        assert html_extract.main_text(f"<body><div class='{name}'><p>{long}<p>{short}</div></body>") == both
+    for name in ("sidebar", "sidebar-left", "cookie-notice", "site-footer", "ad"):
+        assert html_extract.main_text(f"<body><div><p>{long}</div><div class='{name}'>{short}</div></body>") == " ".join(long.split())
+
+
 def test_license_edges(spark):
     rows = [(1, "Released under the MIT License. under the mit license", "en", "a"), (2, "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0\nCC BY-NC", "en", "a"), (3, None, "en", "a"), (4, "// SPDX-License-Identifier: MIT AND\n", "en", "a")]
     out = {r.doc_id: r for r in license_scan.license_scan(docs(spark, rows)).collect()}

@@ -5,7 +5,7 @@
 2. A line's ratio is its characters by its tags. The ratios are smoothed by a Gaussian over neighbouring lines, so that a
    short line between long ones counts with them.
 3. Lines at or above the standard deviation of the smoothed ratios are the content cluster.
-4. The sections that hold the content cluster are the content regions: their lines, short ones as well, are the text.
+4. The sections that hold a line of the content cluster, all of them, are the content regions: their lines, short ones as well, are the text.
 """
 
 from __future__ import annotations
@@ -29,10 +29,21 @@ DROPPED = frozenset("head title script style noscript template nav footer aside
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 #: Words of a class or id that mark what surrounds an article.
 DROPPED_NAMES = frozenset("ad ads adv advert advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side rail aside header masthead topbar footer bottombar copyright comment comments respond reply replies disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login register search share sharing social related recommended recommendations trending pagination pager widget widgets toolbar skip".split())
+#: First or last parts of a class that tell what state an element is in, or what it has, not what it is: ``has-sidebar``, ``comments-open``.
+STATES = frozenset("has have is no not with without show hide open opened closed enabled disabled".split())
 SIGMA, REACH = 1.0, 3
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
+def _dropped_name(token: str) -> bool:
+    """Whether a class or id names what surrounds an article: by its first or its last part, unless one of both is a state."""
+    parts = [p for p in _NAME.split(token) if p]
+    if len(parts) < 2:
+        return bool(parts) and parts[0] in DROPPED_NAMES
+    ends = {parts[0], parts[-1]}
+    return STATES.isdisjoint(ends) and not DROPPED_NAMES.isdisjoint(ends)
+
+
 class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -85,7 +96,7 @@ class _Lines(HTMLParser):
                     names |= set(_NAME.split((v or "").lower()))
             return bool(names & {"comment", "comments", "reply", "ad", "advert", "promo", "related"})
         for k, v in attrs:
-            if k in ("class", "id") and not DROPPED_NAMES.isdisjoint(_NAME.split((v or "").lower())):
+            if k in ("class", "id") and any(map(_dropped_name, (v or "").lower().split())):
                 return True
             if k == "role" and (v or "").lower() in DROPPED_ROLES or k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and "display:none" in (v or "").replace(" ", "").lower():
                 return True
@@ -119,11 +130,7 @@ def main_text(html: str) -> str:
     ratios = np.array([len(text) / max(1, tags) for text, tags, _ in parser.lines])
     smooth = _smoothed(ratios)
     content = smooth >= min(smooth.std(), smooth.max())
-    held: dict[int, float] = {}
-    for (text, _, section), is_content in zip(parser.lines, content, strict=True):
-        if is_content:
-            held[section] = held.get(section, 0) + len(text)
-    regions = {s for s, n in held.items() if n >= 0.2 * max(held.values())}
+    regions = {section for (_, _, section), is_content in zip(parser.lines, content, strict=True) if is_content}
     return " ".join(text for text, _, section in parser.lines if section in regions)
 
 
