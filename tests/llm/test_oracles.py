@@ -188,45 +188,73 @@ def test_mixing_budgets(spark):
     assert sum(small[s] * n for s, n in (("s0", 2000), ("s1", 400), ("s2", 100), ("s3", 20))) == pytest.approx(500, rel=1e-6) and max(small.values()) <= 2.0 + 1e-6
 
 
-def test_line_dedup_is_brute_force(spark):
-    rng = np.random.default_rng(2)
+def edits(a, b):
+    """Levenshtein distance of two rows of units."""
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return prev[-1]
+
+
+def near_lines(a, b):
+    """One edit of words where both lines have ten or more, else of characters, for lines of ten characters or more."""
+    v, w = a.split(), b.split()
+    if len(v) >= 10 and len(w) >= 10:
+        return abs(len(v) - len(w)) <= 1 and edits(v, w) <= 1
+    return min(len(a), len(b)) >= 10 and abs(len(a) - len(b)) <= 1 and edits(a, b) <= 1
+
+
+def without_near_lines(rows):
+    first = {}
+    for d, t in rows:
+        for p, line in enumerate(t.split("\n")):
+            first.setdefault(line, (d, p))
+    near = {a for a in first if any(first[b] < first[a] and near_lines(a, b) for b in first)}
+    return {d: "\n".join(line for p, line in enumerate(t.split("\n")) if first[line] == (d, p) and line not in near) for d, t in rows}, near
+
+
+@pytest.mark.parametrize("least", [10, 2])
+def test_line_dedup_is_brute_force(spark, least):
+    """Lines around the least number of words, and short ones, whose edits are of characters."""
+    rng = np.random.default_rng(least)
     words = [f"w{i}" for i in range(12)]
-    base = [[str(x) for x in rng.choice(words, int(rng.integers(10, 14)))] for _ in range(12)]
+    base = [[str(x) for x in rng.choice(words, int(rng.integers(least, least + 4)))] for _ in range(12)]
     rows = []
     for d in range(60):
         lines = []
         for _ in range(4):
             w = list(base[int(rng.integers(12))])
-            kind, at = int(rng.integers(4)), int(rng.integers(len(w)))
+            kind, at = int(rng.integers(6)), int(rng.integers(len(w)))
             if kind == 1:
                 w[at] = "z" + str(rng.integers(3))
             elif kind == 2:
                 w.insert(at, str(rng.choice(words)))
             elif kind == 3:
                 del w[at]
+            elif kind == 4:
+                w[at] += ","
+            elif kind == 5:
+                w[at] = w[at][:1] + " " + w[at][1:]
             lines.append(" ".join(w))
         rows.append((d, "\n".join(lines)))
-    first = {}
-    for d, t in rows:
-        for p, line in enumerate(t.split("\n")):
-            first.setdefault(line, (d, p))
-
-    def distance(a, b):
-        prev = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            cur = [i]
-            for j, y in enumerate(b, 1):
-                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
-            prev = cur
-        return prev[-1]
-
-    split = {line: line.split() for line in first}
-    near = {a for a in first if len(split[a]) >= 10 and any(first[b] < first[a] and len(split[b]) >= 10 and distance(split[a], split[b]) <= 1 for b in first)}
-    truth = {d: "\n".join(line for p, line in enumerate(t.split("\n")) if first[line] == (d, p) and line not in near) for d, t in rows}
+    truth, near = without_near_lines(rows)
     out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.clean_text for r in out} == truth and near
 
 
+def test_line_dedup_tells_orders_apart(spark):
+    """Lines that have the same pairs of neighbouring words in another order, and lines near to just one of them."""
+    one, two = "s a p1 p2 p3 p4 a q1 q2 q3 q4 a e", "s a q1 q2 q3 q4 a p1 p2 p3 p4 a e"
+    rows = list(enumerate([one, two, two + " zz", one + " yy", one.replace("p2", "p9"), "😀 ab cd ef gh", "😁 ab cd ef gh", "😀 ab cd ef ghi", "a" * 9, "a" * 10, "a" * 11]))
+    truth, near = without_near_lines(rows)
+    assert {two + " zz", one + " yy"} <= near
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.clean_text for r in out} == truth
+
+
 def test_pipeline_stages(spark, texts):
     """Each stage against what it must do to its own input, and the last against the tokens that came in."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
