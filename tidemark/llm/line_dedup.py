@@ -67,15 +67,25 @@ def _half_keys(units: Column, kind: int) -> list[Column]:
     return keys
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once, not once for each element that a lambda in it goes over."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _running_sums(values: Column) -> Column:
     """Sum of all values before each place, and of all, modulo PRIME: by blocks of the square root of their number."""
     n = F.size(values)
-    width = F.greatest(F.lit(1), F.floor(F.sqrt(n)).cast("int"))
-    starts = F.sequence(F.lit(0), F.floor(n / width).cast("int"))
-    by_block = F.transform(starts, lambda j: _sum(F.slice(values, j * width + 1, width)))
-    before = F.transform(starts, lambda j: _sum(F.slice(by_block, F.lit(1), j)))
-    block = lambda i: F.floor(i / width).cast("int")
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.pmod(F.get(before, block(i)) + _sum(F.slice(values, block(i) * width + 1, i - block(i) * width)), F.lit(PRIME)))
+
+    def by_place(width: Column, before: Column) -> Column:
+        block = lambda i: F.floor(i / width).cast("int")
+        return F.transform(F.sequence(F.lit(0), n), lambda i: F.pmod(F.get(before, block(i)) + _sum(F.slice(values, block(i) * width + 1, i - block(i) * width)), F.lit(PRIME)))
+
+    def by_block(width: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(n / width).cast("int"))
+        sums = F.transform(starts, lambda j: _sum(F.slice(values, j * width + 1, width)))
+        return _let(sums, lambda x: _let(F.transform(starts, lambda j: _sum(F.slice(x, F.lit(1), j))), lambda before: by_place(width, before)))
+
+    return _let(F.greatest(F.lit(1), F.floor(F.sqrt(n)).cast("int")), by_block)
 
 
 def _variant_keys(lines: DataFrame) -> DataFrame:
@@ -90,8 +100,8 @@ def _variant_keys(lines: DataFrame) -> DataFrame:
     n, total = F.col("n"), F.col("total")
     half, short_half = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     # What lies beyond a shared half may differ: its places, from 0.
-    even = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (shares("before", EVEN) & (i >= half)) | (shares("after", EVEN) & (i < half)))
-    longer = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (shares("before", LONGER) & (i >= short_half)) | (shares("after", LONGER) & (i <= short_half)))
+    places = lambda how, low, high: F.when(shares("before", how) | shares("after", how), F.sequence(F.when(shares("after", how), F.lit(0)).otherwise(low), F.when(shares("before", how), n - 1).otherwise(high))).otherwise(F.array().cast("array<int>"))
+    even, longer = places(EVEN, half, half - 1), places(LONGER, short_half, short_half)
     row = lambda role, key: F.struct(F.lit(role).cast("byte").alias("role"), key.alias("key"))
     mod = lambda x: F.pmod(x, F.lit(PRIME))
     left_out = F.array_distinct(F.transform(longer, lambda i: mod(F.get("sums", i) + F.get("shifted_sums", n) - F.get("shifted_sums", i + 1))))
