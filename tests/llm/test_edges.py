@@ -113,6 +113,26 @@ def test_warc_edges(spark):
     assert warc.warc_dedup(df.limit(0), path + "-none").collect() == []
 
 
+def test_warc_headers(spark, monkeypatch):
+    """What the deduplicated archives say of a revisit, however few bytes a file may have, and without digests in the headers."""
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 8)
+    df = spark.createDataFrame([(2, "http://b/x y", "same"), (1, "http://a/", "same"), (3, "http://c/", "other")], "page_id long, url string, html string").coalesce(1)
+    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.warc_dedup(df, path)
+    import gzip
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{path}/dedup").collect()
+    assert len(files) >= 2
+    heads = {h["warc-page"]: (h, block) for f in files for h, block in warc.records(gzip.decompress(f.content))}
+    revisit, first = heads["2"][0], heads["1"][0]
+    assert revisit["warc-type"] == "revisit" and heads["2"][1] == b"" and revisit["warc-target-uri"] == "http://b/x%20y"
+    assert revisit["warc-refers-to"] == first["warc-record-id"] and revisit["warc-refers-to-target-uri"] == "http://a/" and revisit["warc-payload-digest"] == first["warc-payload-digest"]
+    raw = {r.page_id: r for r in warc.read_archives(spark, f"{path}/raw").collect()}
+    assert revisit["warc-refers-to-date"] == raw[1].date and raw[2].sha256 == raw[1].sha256 and "2000-01-01T00:00:00Z" < first["warc-date"]
+    again = {r.page_id: r.sha256 for r in warc.read_archives(spark, f"{path}/raw", hashed=False).collect()}
+    assert again == {i: r.sha256 for i, r in raw.items()}
+
+
 def test_html_edges(spark):
     page = "<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Menu</a></nav><div class='cookie-notice'>We use cookies</div><main><h1>Head</h1><p>First &amp; long paragraph with   many words in it.<br>Next<p>Second paragraph, unclosed <b>bold<script>var x='</p>'</script></main><section id=comments><p>A reader says something rather long here, too long.</section><footer>Foot</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "plain text"), (None, "u", "<p>one</p>"), (5, "u", "<nav>only menu</nav>")]
