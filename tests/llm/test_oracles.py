@@ -127,6 +127,33 @@ def test_tokens_by_word_are_whole_texts():
     assert [np.frombuffer(b, "<u4").tolist() for b in tokens.ids(odd)] == [encode.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+@pytest.mark.parametrize("most", [packing.KNOWN_WORDS, 60])
+def test_tokens_of_random_odd_strings(most):
+    """Whatever characters meet, and while most words are forgotten time and again."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    encode, tokens = Tokenizer.from_file(path), packing.Tokens(path, most=most)
+    rng = np.random.default_rng(7)
+    parts = np.array([*"aB .,,.\n\t '’-<|>İΣσςéÉ\u0301\u0307\u093cßẞǅﬁ1²½٣中あ한ᄀ\u1161\r\xa0\u2003İKKªº_$😀क\x1c\x85", "<|startoftext|>", "<|endoftext|>", "'s", "'ll", "İ.", "Σ.", "word. ", "Two, "], object)
+    odd = ["".join(rng.choice(parts, int(rng.integers(14)))) for _ in range(6000)]
+    for at in range(0, len(odd), 300):
+        batch = odd[at : at + 300]
+        assert [np.frombuffer(b, "<u4").tolist() for b in tokens.ids(batch)] == [encode.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_packing_over_several_shards(spark, monkeypatch):
+    """What the cut into shards costs: against the packing of all pieces at once."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["the"] * int(n))) for i, n in enumerate(np.minimum(3000, rng.geometric(0.002, 3000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    used = {}
+    for shard in (400, 100_000):
+        monkeypatch.setattr(packing, "SHARD", shard)
+        used[shard] = len({r.sequence_id for r in packing.best_fit_packing(df).select("sequence_id").collect()})
+    assert used[400] <= used[100_000] + 8  # a shard leaves one sequence badly filled
+
+
 def test_pack_uses_few_sequences():
     rng = np.random.default_rng(0)
     for lengths in (rng.integers(1, 2049, 3000), np.minimum(2048, rng.geometric(0.003, 3000)), np.full(10, 1024), np.array([2048, 1, 1])):

@@ -9,6 +9,7 @@ sequence with the smallest gap that takes them, or to a new one.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import zlib
@@ -16,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,24 +30,26 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of a shard, which one task packs.
 SHARD = 8000
-#: Words whose ids a Python worker keeps; beyond that it starts anew.
+#: Words whose ids a Python worker keeps; beyond that it forgets those that it met in one batch only.
 KNOWN_WORDS = 600_000
 #: Characters of text tokenised at a time.
 AT_ONCE = 2_000_000
 
-#: A stop or comma that ends a word.
-_STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
+#: A stop or comma that ends a word, in lower-cased texts and in others; the letters are some of those that no normaliser changes.
+_STOPS = {letters: [(re.compile(rf"\{c}(?<=[{letters}]\{c})(?=[ \n]|\Z)"), f" {c}") for c in ".,"] for letters in ("0-9a-zß-öø-ɏ", "0-9A-Za-z")}
+_LOWERED, _AS_THEY_ARE = _STOPS.values()
 _tokenizers: dict[str, Tokens] = {}
 
 
 class Tokens:
     """Ids of texts by a tokenizer that lower-cases and never joins what white space parts, so that a word's ids can be kept.
 
-    Unknown words are encoded together: plain ones parted by spaces, where tokens that end a word show the seams, all others by
-    the special token ``mark``, which the tokenizer cuts out before all else.
+    The ids of all known words lie in one array, each word's from its start. A text's words become their numbers (Arrow), and the
+    ids of a batch of texts are gathered at once. Unknown words are encoded together: plain ones parted by spaces, where tokens
+    that end a word show the seams, all others by the special token ``mark``, which the tokenizer cuts out before all else.
     """
 
-    def __init__(self, path: str, mark: str = "<|startoftext|>", suffix: str = "</w>") -> None:
+    def __init__(self, path: str, mark: str = "<|startoftext|>", suffix: str = "</w>", most: int = KNOWN_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path)
@@ -52,7 +57,39 @@ class Tokens:
         vocabulary = self.encode.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.store, self.starts, self.lengths, self.batches = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _keep_common(self) -> None:
+        """Forgets the words of one batch only; all, if the others are too many as well."""
+        kept = [(w, i) for w, i in self.number.items() if self.batches[i] > 1]
+        if 2 * len(kept) > self.most:
+            kept = []
+        words, rows = [w for w, _ in kept], np.array([i for _, i in kept], np.int64)
+        store, lengths, batches = self._gathered(rows), self.lengths[rows], self.batches[rows]
+        self._forget()
+        self._add(words, store, lengths)
+        self.batches[1:] = batches
+
+    def _gathered(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of the words with these numbers, one after the other."""
+        lengths = self.lengths[rows]
+        shift = self.starts[rows] - (np.cumsum(lengths) - lengths)
+        at = np.repeat(shift, lengths)
+        at += np.arange(len(at))
+        return self.store[at]
+
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray, gap: int = 0) -> None:
+        """Words whose ids lie one after the other in ``ids``, ``gap`` places apart."""
+        self.number.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        starts = len(self.store) + np.cumsum(lengths + gap) - (lengths + gap)
+        self.store = np.concatenate((self.store, ids))
+        self.starts, self.lengths = np.concatenate((self.starts, starts)), np.concatenate((self.lengths, lengths))
+        self.batches = np.concatenate((self.batches, np.zeros(len(words), np.int64)))
 
     @staticmethod
     def of(path: str) -> Tokens:
@@ -62,50 +99,57 @@ class Tokens:
         return _tokenizers[path]
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """Parts whose ids, put together, are the text's: what spaces and line ends part, and single stops and commas after a word.
+    def parted(text: str) -> str:
+        """The text with spaces between parts whose ids, put together, are the text's: line ends are spaces, and single stops and commas part from their word.
 
-        Where lower-casing here could differ from the tokenizer's, a text is left as it is.
+        Where lower-casing here could differ from the tokenizer's, a text's letters are left as they are.
         """
-        if "<|" not in text and (text.isascii() or "Σ" not in text and unicodedata.is_normalized("NFC", text)):
-            text = text.lower()
-        return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+        stops = _AS_THEY_ARE
+        if "<|" not in text and (text.isascii() or "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text)):
+            text, stops = text.lower(), _LOWERED
+        for pattern, apart in stops:
+            text = pattern.sub(apart, text)
+        return text.replace("\n", " ")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.encode.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _keep(self, words: list[str], data: bytes, ends: np.ndarray, gap: int) -> None:
-        begin = 0
-        for w, end in zip(words, ends.tolist(), strict=True):
-            self.known[w] = data[begin:end]
-            begin = end + gap
-
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if w.isalpha() and (w.isascii() or w == w.lower() and unicodedata.is_normalized("NFC", w))]
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
             ids = self._ids(" ".join(part))
-            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
-                self._keep(part, ids.tobytes(), ends, 0)
-        for w in (rest := [w for w in words if w not in self.known]):
+                self._add(part, ids, np.diff(ends, prepend=0))
+        rest = [w for w in words if w not in self.number]
+        for w in rest:
             if "<|" in w:
-                self.known[w] = self._ids(w).tobytes()
+                ids = self._ids(w)
+                self._add([w], ids, np.array([len(ids)]))
         rest = [w for w in rest if "<|" not in w]
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
             ids = self._ids(self.mark.join(part))
-            self._keep(part, ids.tobytes(), 4 * np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 4)
+            seams = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+            self._add(part, ids, np.diff(seams, prepend=-1) - 1, gap=1)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.words(t) for t in texts]
-        words = set().union(*split)
-        if len(self.known) + len(words.difference(self.known)) > KNOWN_WORDS:
-            self.known = {"": b""}
-        self._learn(sorted(words.difference(self.known)))
-        known = self.known.__getitem__
-        return [b"".join(map(known, parts)) for parts in split]
+        parts = pc.split_pattern(pa.array([self.parted(t) for t in texts], pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        unknown = [w for w in words if w not in self.number]
+        if len(self.number) + len(unknown) > self.most:
+            self._keep_common()
+            unknown = [w for w in words if w not in self.number]
+        self._learn(unknown)
+        rows = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.batches[rows] += 1
+        rows = rows[coded.indices.to_numpy()]
+        data = self._gathered(rows).tobytes()
+        ends = 4 * np.concatenate(([0], np.cumsum(self.lengths[rows])))[parts.offsets.to_numpy()]
+        return [data[a:b] for a, b in itertools.pairwise(ends.tolist())]
 
 
 def default_tokenizer() -> str:
@@ -195,8 +239,8 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[
 def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its ids and then id 0; only longer ones than ``capacity`` are cut. Null text counts as empty: a single
-    id 0. Null ids stay null; a repeated row is packed again, its pieces are rows of their own; an empty table gives no rows;
+    A document is its ids and then id 0; only longer ones than ``capacity`` are cut, however long. Null text counts as empty: a
+    single id 0. Null ids stay null; a repeated row is packed again, its pieces are rows of their own; an empty table gives no rows;
     other columns are ignored, whatever their names.
     """
     cut = written(pieces(docs, tokenizer or default_tokenizer(), capacity, id_col, text_col))
