@@ -18,31 +18,78 @@ from tidemark.sources import table
 
 #: The phrases that the query's contract names, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Further notice phrases: label, and how sure a notice is by this phrase alone.
+#: Further notice phrases: label, and how sure a notice is by this phrase alone. Words of the public licence texts.
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": ("mit", 0.9),
+    "mit license": ("mit", 0.7),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", 0.9),
+    "isc license": ("isc", 0.7),
     "redistribution and use in source and binary forms": ("bsd", 0.9),
+    "bsd 2 clause": ("bsd", 0.7),
+    "bsd 3 clause": ("bsd", 0.7),
+    "bsd license": ("bsd", 0.7),
     "licensed under the apache license": ("apache", 0.9),
+    "apache software license": ("apache", 0.7),
     "gnu general public license": ("gpl", 0.9),
     "gnu lesser general public license": ("lgpl", 0.9),
+    "gnu library general public license": ("lgpl", 0.9),
     "gnu affero general public license": ("agpl", 0.9),
+    "gnu free documentation license": ("gfdl", 0.9),
     "mozilla public license": ("mpl", 0.9),
+    "eclipse public license": ("epl", 0.9),
+    "eclipse distribution license": ("edl", 0.9),
+    "common development and distribution license": ("cddl", 0.9),
+    "common public license": ("cpl", 0.9),
+    "european union public licence": ("eupl", 0.9),
+    "artistic license": ("artistic", 0.7),
+    "boost software license": ("bsl", 0.9),
+    "zlib license": ("zlib", 0.7),
+    "this software is provided as is without any express or implied warranty": ("zlib", 0.7),
+    "python software foundation license": ("python", 0.9),
+    "php license": ("php", 0.7),
+    "open software license": ("osl", 0.9),
+    "academic free license": ("afl", 0.9),
+    "microsoft public license": ("ms-pl", 0.9),
+    "sil open font license": ("ofl", 0.9),
+    "server side public license": ("sspl", 0.9),
+    "business source license": ("busl", 0.9),
+    "universal permissive license": ("upl", 0.9),
+    "this is free and unencumbered software released into the public domain": ("unlicense", 0.9),
+    "do what the fuck you want to public license": ("wtfpl", 0.9),
+    "open database license": ("odbl", 0.9),
+    "open data commons attribution license": ("odc-by", 0.9),
+    "public domain dedication and license": ("pddl", 0.9),
+    "cc by 1 0": ("cc-by", 0.9),
+    "cc by 2 0": ("cc-by", 0.9),
+    "cc by 2 5": ("cc-by", 0.9),
+    "cc by 3 0": ("cc-by", 0.9),
+    "cc by 4 0": ("cc-by", 0.9),
     "cc by sa": ("cc-by-sa", 0.9),
     "cc by nd": ("cc-by-nd", 0.9),
+    "cc by nc sa": ("cc-by-nc-sa", 0.9),
+    "cc by nc nd": ("cc-by-nc-nd", 0.9),
     "cc0": ("cc0", 0.7),
+    "creative commons zero": ("cc0", 0.9),
     "creative commons attribution": ("cc-by", 0.7),
+    "creative commons attribution sharealike": ("cc-by-sa", 0.9),
+    "creative commons attribution share alike": ("cc-by-sa", 0.9),
+    "creative commons attribution noncommercial": ("cc-by-nc", 0.9),
+    "creative commons attribution non commercial": ("cc-by-nc", 0.9),
+    "creative commons attribution noderivatives": ("cc-by-nd", 0.9),
+    "creative commons attribution no derivatives": ("cc-by-nd", 0.9),
     "public domain": ("public-domain", 0.5),
     "all rights reserved": ("all-rights-reserved", 0.5),
 }
 TAG = "spdx license identifier"
 #: Labels, or identifiers by their first part, that allow use without sharing alike.
-PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib", "public-domain", "bsl"}
-RESTRICTED = {"cc-by-nc", "cc-by-nd", "all-rights-reserved"}
+PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib", "public-domain", "bsl", "python", "php", "upl", "wtfpl", "pddl", "edl", "afl"}
+RESTRICTED = {"cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "all-rights-reserved"}
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, expressions string, permissive boolean"
 
 _WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _TAGGED = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+\-:]*")
+#: An identifier ends with a letter, a digit or a plus; a stop, hyphen or colon after it belongs to the text.
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.+\-:]*[A-Za-z0-9+])?")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -118,18 +165,22 @@ def scan(text: str, automaton) -> tuple:
     words = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
     line = f" {b' '.join(words).decode('utf-8', 'replace')} "
     n_base, first, last, seen, at, score, tagged = 0, None, None, 0, 0, 0.0, False
-    base, own = set(), set()
+    base, longest = set(), {}
     for end, (length, label, sure, is_base) in automaton.iter(line):
         seen += line.count(" ", at, end)
         at = end
         if not label:
             tagged = True
             continue
-        score = max(score, sure)
-        (base if is_base else own).add(label)
-        if is_base:
-            start = seen - length
-            n_base, first, last = n_base + 1, start if first is None else min(first, start), start if last is None else max(last, start)
+        start = seen - length
+        if not is_base:
+            longest[start] = (label, sure)  # of phrases that start at one place, the longest ends last
+            continue
+        score = 1.0
+        base.add(label)
+        n_base, first, last = n_base + 1, start if first is None else min(first, start), start if last is None else max(last, start)
+    own = {label for label, _ in longest.values()}
+    score = max([score, *(sure for _, sure in longest.values())])
     allowed = [label not in RESTRICTED and _is_permissive(label) for label in base | own]
     expressions = []
     if tagged:
@@ -151,9 +202,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words are runs of ASCII letters (lower-cased) and digits and of any other characters beyond ASCII. n_base counts every
     place of a base phrase, also where two overlap; first_word and last_word are the smallest and largest word number (from 0)
-    at which one starts, else null. labels also hold the other notices' labels and those of the expressions after identifier
+    at which one starts, else null. labels also hold the other notices' labels (of phrases that start at the same word, the longest one's) and those of the expressions after identifier
     tags (a malformed one: ``unparsed-expression``). score: how sure the surest notice is. permissive: all licences found
-    are permissive, null if none is. Null text counts as empty: no words, empty labels, score 0. Null ids stay null;
+    are permissive, null if none is. Null text counts as empty: no words, empty labels, score 0.
+    Very long texts are scanned whole. Null ids stay null;
     repeated rows are scanned each; empty table: no rows; other columns are ignored, whatever their names.
     """
 
