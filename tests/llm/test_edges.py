@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import re
 import uuid
 
 import pytest
@@ -154,6 +155,39 @@ def test_html_keeps_every_content_section():
         assert html_extract.main_text(f"<body><div><p>{long}</div><div class='{name}'>{short}</div></body>") == " ".join(long.split())
 
 
+def test_html_wrappers_and_broken_markup():
+    """Names that only mention what they hold, a page within one form, unclosed marked paragraphs, blocks and tables on their own."""
+    long = " ".join("many words of a long text".split() * 40)
+    get = html_extract.main_text
+    assert get(f"<body><div class='content has-sidebar'><p>{long}</p></div></body>") == long
+    assert get(f"<body><div class='entry'><div class='entry-header'><h1>Title</h1></div><p>{long}</p></div></body>") == f"Title {long}"
+    assert get(f"<body><form id=aspnetForm><div><h1>Title</h1><p>{long}</p></div></form><form><p>Your name</p><input></form></body>") == f"Title {long}"
+    assert get(f"<body><form id=aspnetForm><div><p>{long}</p></div></form></body>") == long
+    assert get(f"<body><p class=promo>Buy now<div><p>{long}</p></div></body>") == long
+    cells = "".join(f"<tr><td>{i}</td><td>v{i}</td></tr>" for i in range(30))
+    text = " ".join(f"{i} v{i}" for i in range(30))
+    assert get(f"<body><div><p>{long}</p><table>{cells}</table><p>{long}</p></div></body>") == f"{long} {text} {long}"
+    blocks = "".join(f"<div>{x}</div>" for x in (long, "Yes.", "No.", "Why?", "So.", "I see.", "Go on.", "Well.", long))
+    assert get(f"<body><div>{blocks}</div></body>") == f"{long} Yes. No. Why? So. I see. Go on. Well. {long}"
+    assert get("<b>" * 20_000 + "<p>x" * 20_000 + "</i>" * 20_000).startswith("x x x")
+    assert get(f"<div><p>{long}</p></div>" * 2) == f"{long} {long}" and get(f"<p>{long}" * 3_000).count("many") == 120_000
+
+
+def test_html_by_ratio_alone():
+    """Pages without any telling element, class or id: what is a menu, a footer or a list of links is told by the ratio alone."""
+    paragraph = "this is a paragraph of some length that tells the reader what the page is about and then goes on"
+    menu = "".join(f"<div><a href=/{i}>Item {i}</a></div>" for i in range(8))
+    decided = 0
+    for n in range(1, 6):
+        for inner in ("p", "div"):
+            body = "".join(f"<{inner}>{paragraph} {i}</{inner}>" for i in range(3 * n))
+            page = f"<body><div>{menu}</div><div><h1>A heading</h1>{body}</div><div><span>(c)</span> <a href=/a>About</a> <a href=/b>Terms</a></div><div>{menu}</div></body>"
+            text = html_extract.main_text(page)
+            assert text == " ".join(["A heading", *(f"{paragraph} {i}" for i in range(3 * n))])
+            decided += text != " ".join(re.sub("<[^>]*>", " ", page).split())
+    assert decided == 10
+
+
 def test_license_edges(spark):
     rows = [(1, "Released under the MIT License. under the mit license", "en", "a"), (2, "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0\nCC BY-NC", "en", "a"), (3, None, "en", "a"), (4, "// SPDX-License-Identifier: MIT AND\n", "en", "a")]
     out = {r.doc_id: r for r in license_scan.license_scan(docs(spark, rows)).collect()}
@@ -163,6 +197,23 @@ def test_license_edges(spark):
     assert out[4].labels == "unparsed-expression"
 
 
+@pytest.mark.parametrize(("text", "labels", "permissive"), [
+    ("SPDX-License-Identifier: MIT.", "mit", True),
+    ("<!-- SPDX-License-Identifier: MIT-->", "mit", True),
+    ("/* SPDX-License-Identifier: GPL-2.0+ */", "gpl-2.0+", False),
+    ("SPDX-License-Identifier: (Apache-2.0 OR MIT).", "apache-2,mit", True),
+    ("SPDX-License-Identifier: LicenseRef-own:x-", "licenseref-own:x", False),
+    ("This is free and unencumbered software released into the public domain.", "public-domain,unlicense", True),
+    ("CC BY-NC-ND 4.0", "cc-by-nc,cc-by-nc-nd", False),
+    ("CC BY 4.0, Creative Commons Attribution-ShareAlike", "cc-by,cc-by-sa", False),
+    ("x " * 300_000 + "Boost Software License", "bsl", True),
+])
+def test_license_labels(text, labels, permissive):
+    """Identifiers without the marks that follow them, notices of other licences, the end of a very long text."""
+    found = dict(zip([c.split()[0] for c in license_scan.SCHEMA.split(", ")][1:], license_scan.scan(text, license_scan._automaton()), strict=True))
+    assert (found["labels"], found["permissive"]) == (labels, permissive)
+
+
 def test_shunting_yard():
     ev = lambda e: license_scan.evaluate(license_scan.postfix(e))
     assert license_scan.postfix("a or b and c") == ["a", "b", "c", "and", "or"]

@@ -182,6 +182,37 @@ def test_language_id_on_texts_never_seen(spark):
     assert sum(langs[r.doc_id] == r.lang_pred for r in unseen) >= 0.95 * len(unseen)
 
 
+def test_language_id_is_brute_force(spark):
+    """Predictions again, from the model's centroids by plain dictionaries and loops; every label learned, long and short texts rejected alike."""
+    from tidemark.llm import language_id
+
+    rng = np.random.default_rng(5)
+    alphabets = [["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(6)] for _ in range(260)]
+    rows = [(260 * i + k, " ".join(rng.choice(alphabets[k], int(rng.integers(3, 60)))), f"l{k}") for i in range(8) for k in range(260)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert set(model.languages) == {f"l{k}" for k in range(260)}
+    out = {r.doc_id: r for r in language_id.language_id(df).collect()}
+    for doc_id, text, _ in rows[::40]:
+        kept = text.lower().encode()
+        x = b" " + kept + b" "
+        grams = collections.Counter()
+        for size, odd, shift in ((1, 1, 0), (2, 40503, 7), (3, 40507, 9)):
+            for at in range(len(x) - size + 1):
+                code = x[at] if size == 1 else x[at] * 257 + x[at + 1] if size == 2 else (x[at] * 257 + x[at + 1]) * 263 + x[at + 2]
+                wrapped = (code * odd) & 0xFFFFFFFF
+                grams[((wrapped - (1 << 32) if wrapped >> 31 else wrapped) >> shift) & 4095] += 1
+        v = np.zeros(4096)
+        for g, n in grams.items():
+            v[g] = np.log1p(n) * model.idf[g]
+        cosine = model.centroids @ (v / np.linalg.norm(v))
+        assert out[doc_id].lang_pred == model.languages[int(cosine.argmax())] and out[doc_id].score == pytest.approx(float(cosine.max()), abs=1e-4)
+    unseen = [(i, lang) for i, _, lang in rows if out[i].held_out]
+    assert sum(out[i].lang_pred == lang for i, lang in unseen) >= 0.9 * len(unseen)
+    far = spark.createDataFrame([(1, "!" + "éüñß " * n) for n in (3, 10, 100)], "doc_id long, text string")
+    assert all(r.p.rejected for r in far.select(language_id.predicted(model, far["text"]).alias("p")).collect())
+
+
 def test_language_id_rejects_what_is_far(spark):
     from tidemark.llm.language_id import drop_rejected
 

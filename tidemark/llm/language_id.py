@@ -2,7 +2,7 @@
 
 A bounded sample of labelled texts is turned into vectors by Spark; per language these are clustered into several centroids
 (spherical k-means), since texts of one language may be of unlike kinds. A text gets the language of the centroid with the
-largest cosine. It is rejected when that centroid is farther away than nearly all its own sample texts were.
+largest cosine. It is rejected when that centroid is farther away than nearly all sample texts of its length were from theirs.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from tidemark.sources import table
 
 #: Dimensions of a vector; n-grams of one to three bytes are hashed into them.
 DIMENSIONS = 4096
-#: The sample has at most so many texts of a language and in all; at most so many languages are learned.
-PER_LANGUAGE, SAMPLE, LANGUAGES = 500, 4000, 200
+#: The sample has at most so many texts of a language, and some so many in all; every language has LEAST at least if there are
+#: as many. All labels are learned, so that the model grows with their number (ISO 639 has 8,000), not with the rows.
+PER_LANGUAGE, SAMPLE, LEAST = 500, 4000, 5
 CLUSTERS = 3
-#: A centroid's reach: this quantile of its sample texts' distances, times this factor.
+#: A centroid's reach: this quantile of its sample texts' distances, times this factor. Shorter texts lie farther away from
+#: all centroids; their reach is measured on the beginnings of the sample texts, of so many characters, for texts of up to so many.
 REACH_QUANTILE, REACH_FACTOR = 0.995, 1.15
-#: Texts with fewer letters have too few n-grams for their distance to mean something; they are never rejected.
-REJECT_FROM = 200
+BEGINNINGS = (20, 40, 80, 160, 320)
 UNKNOWN = "und"
 
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -45,7 +46,9 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one row each, of length 1
     languages: list[str]  # of each centroid
-    reach: np.ndarray  # largest distance at which a centroid still takes a text
+    reach: np.ndarray  # largest distance at which a centroid still takes a text that is longer than the last beginning
+    short_reach: np.ndarray  # largest distance for texts of up to each number of n-grams in short_sizes
+    short_sizes: np.ndarray
 
     def vectors(self, counted: np.ndarray) -> np.ndarray:
         v = np.log1p(counted).astype(np.float32) * self.idf
@@ -57,6 +60,12 @@ class Model:
         best = cosine.argmax(axis=1)
         return best, np.clip(cosine[np.arange(len(best)), best], 0, 1)
 
+    def rejected(self, counted: np.ndarray, best: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Whether each row is farther from its nearest centroid than texts of its length are."""
+        size = np.searchsorted(self.short_sizes, counted.sum(axis=1))
+        short = np.append(self.short_reach, 0)[size]
+        return 1 - cosine > np.where(size < len(self.short_sizes), np.maximum(short, self.reach[best]), self.reach[best])
+
 
 def clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """At most ``k`` centroids by spherical k-means; starts from the vectors farthest from those taken."""
@@ -81,29 +90,30 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learns from a sample of the labelled rows outside the held-out fold; None if there is none.
 
-    The sample takes rows by the hash of their ids, at most PER_LANGUAGE of a language and SAMPLE in all. Rows with null id,
-    null text or null language, and texts without a letter, are not learned from.
+    The sample takes rows by the hash of their ids: of each of k languages at most PER_LANGUAGE, and no more than SAMPLE / k or
+    LEAST, whichever is more. Rows with null id, null text or null language, and texts without a letter, are not learned from.
     """
     labelled = docs.where(~held_out(id_col)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    each = min(PER_LANGUAGE, SAMPLE // len(sizes))
-    below = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, 1.3 * each / n) * (1 << 30)))))
-    picked = labelled.withColumn("place", order).where(F.col("place") < F.coalesce(F.try_element_at(below, "lang"), F.lit(0))).where(F.col("text").rlike(r"\p{L}"))
+    each = min(PER_LANGUAGE, max(LEAST, SAMPLE // len(sizes)))
+    # By their number alone, some more than needed, as some have no letter; ten more, as few may fall far short of the mean.
+    below = labelled.sparkSession.createDataFrame([(lang, int(min(1.0, (1.3 * each + 10) / n) * (1 << 30))) for lang, n in sizes.items()], "lang string, below long")
+    picked = labelled.withColumn("place", order).join(F.broadcast(below), "lang").where("place < below").where(F.col("text").rlike(r"\p{L}"))
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "place": frame["place"], "counts": [np.minimum(counts(t), 65535).astype("<u2").tobytes() for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "place": frame["place"], "counts": [np.minimum(counts(t), 65535).astype("<u2").tobytes() for t in frame["text"]], "beginning": [t.strip()[: BEGINNINGS[-1]] for t in frame["text"]]})
 
-    sample = picked.select("doc_id", "lang", "place", "text").mapInPandas(counted, "doc_id long, lang string, place long, counts binary").toPandas()
+    sample = picked.select("doc_id", "lang", "place", "text").mapInPandas(counted, "doc_id long, lang string, place long, counts binary, beginning string").toPandas()
     if sample.empty:
         return None
     sample = sample.sort_values(["lang", "place", "doc_id"]).groupby("lang").head(each)
     matrix = np.stack([np.frombuffer(b, dtype="<u2") for b in sample["counts"]])
     idf = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32) + 1
-    blank = Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
+    blank = Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0), np.zeros(0), np.zeros(0))
     vectors, labels = blank.vectors(matrix), sample["lang"].to_numpy()
     parts = [(lang, clusters(vectors[labels == lang], CLUSTERS)) for lang in sorted(set(labels))]
     centroids = np.concatenate([c for _, c in parts])
@@ -111,10 +121,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     cosine = vectors @ centroids.T
     best = cosine.argmax(axis=1)
     distance = 1 - cosine[np.arange(len(best)), best]
-    long_enough = matrix.sum(axis=1) >= 3 * REJECT_FROM
-    everywhere = np.quantile(distance, REACH_QUANTILE)
-    reach = np.array([np.quantile(d, REACH_QUANTILE) if len(d := distance[(best == i) & long_enough]) >= 20 else everywhere for i in range(len(centroids))])
-    return Model(idf, centroids, languages, np.minimum(1.0, REACH_FACTOR * reach))
+    short_reach, short_sizes = [], []
+    for length in BEGINNINGS:
+        cut = np.stack([counts(t[:length]) for t in sample["beginning"]])
+        cut = cut[cut.sum(axis=1) > 3]
+        if len(cut):
+            short_reach.append(np.quantile(1 - (blank.vectors(cut) @ centroids.T).max(axis=1), REACH_QUANTILE))
+            short_sizes.append(np.quantile(cut.sum(axis=1), 0.5))
+    by_size = np.argsort(short_sizes, kind="stable")
+    long = matrix.sum(axis=1) > max(short_sizes, default=0)
+    everywhere = np.quantile(distance[long] if long.any() else distance, REACH_QUANTILE)
+    reach = np.array([np.quantile(d, REACH_QUANTILE) if len(d := distance[(best == i) & long]) >= 20 else everywhere for i in range(len(centroids))])
+    # A shorter text's reach is no smaller than a longer one's.
+    short_reach = np.maximum.accumulate(np.array(short_reach)[by_size][::-1])[::-1]
+    return Model(idf, centroids, languages, np.minimum(1.0, REACH_FACTOR * reach), np.minimum(1.0, REACH_FACTOR * short_reach), np.array(short_sizes)[by_size])
 
 
 def predicted(model: Model | None, text: Column) -> Column:
@@ -134,7 +154,7 @@ def predicted(model: Model | None, text: Column) -> Column:
             best, cosine = model.nearest(counted)
             lang[rows] = np.array(model.languages, object)[best]
             score[rows] = cosine
-            rejected[rows] = (1 - cosine > model.reach[best]) & (counted.sum(axis=1) >= 3 * REJECT_FROM)
+            rejected[rows] = model.rejected(counted, best, cosine)
         return pd.DataFrame({"lang_pred": lang, "score": score, "distance": 1 - score, "rejected": rejected})
 
     return of(F.when(text.rlike(r"\p{L}"), text))
