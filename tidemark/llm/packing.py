@@ -31,9 +31,9 @@ END_ID = 0
 #: Pieces of a shard, which one task packs.
 SHARD = 8000
 #: Words whose ids a Python worker keeps; beyond that it forgets those that it met in one batch only.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 400_000
 #: Characters of text tokenised at a time.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 
 #: A stop or comma that ends a word, in lower-cased texts and in others; the letters are some of those that no normaliser changes.
 _STOPS = {letters: [(re.compile(rf"\{c}(?<=[{letters}]\{c})(?=[ \n]|\Z)"), f" {c}") for c in ".,"] for letters in ("0-9a-zß-öø-ɏ", "0-9A-Za-z")}
@@ -62,15 +62,16 @@ class Tokens:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {"": 0}
+        self.words = [""]
         self.store, self.starts, self.lengths, self.batches = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _keep_common(self) -> None:
         """Forgets the words of one batch only; all, if the others are too many as well."""
-        kept = [(w, i) for w, i in self.number.items() if self.batches[i] > 1]
-        if 2 * len(kept) > self.most:
-            kept = []
-        words, rows = [w for w, _ in kept], np.array([i for _, i in kept], np.int64)
-        store, lengths, batches = self._gathered(rows), self.lengths[rows], self.batches[rows]
+        rows = np.flatnonzero(self.batches > 1)
+        rows = rows[rows > 0]
+        if 2 * len(rows) > self.most:
+            rows = rows[:0]
+        words, store, lengths, batches = [self.words[i] for i in rows], self._gathered(rows), self.lengths[rows], self.batches[rows]
         self._forget()
         self._add(words, store, lengths)
         self.batches[1:] = batches
@@ -86,6 +87,7 @@ class Tokens:
     def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray, gap: int = 0) -> None:
         """Words whose ids lie one after the other in ``ids``, ``gap`` places apart."""
         self.number.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        self.words += words
         starts = len(self.store) + np.cumsum(lengths + gap) - (lengths + gap)
         self.store = np.concatenate((self.store, ids))
         self.starts, self.lengths = np.concatenate((self.starts, starts)), np.concatenate((self.lengths, lengths))
