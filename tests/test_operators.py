@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import html_tables, scalars
-from tidemark.operators import islands, joins, metrics, quality, rules, text
+from tidemark.operators import documents, islands, joins, metrics, quality, rules, text
 from tidemark.operators import timeseries as ts
 
 D = dt.date
@@ -114,6 +114,8 @@ def test_year_headers():
     assert out[1:3] == ["2023", "2024"] and out[3].startswith("2024_i") and out[4].startswith("2025_i")
     assert html_tables.year_headers([["附註", "於12月31日", "於8月31日"], ["", "2023年", "2024年", "2025年"]])[1:] == ["2023", "2024", "2025_i1"]
     assert html_tables.year_headers([["no", "years"]]) == []
+    assert html_tables.year_headers([["2022", "2023", "2023", "2024", "2025"]]) == ["2022", "2023", "2023_i1", "2024", "2025_i1"]
+    assert html_tables.year_headers([["2023", "2024", "2024", "2024"]]) == ["2023", "2024", "2024_i1", "2024_i2"]
 
 
 def test_labelled_series(spark):
@@ -121,6 +123,55 @@ def test_labelled_series(spark):
     heads = spark.createDataFrame([(1, 1, "2023"), (1, 2, "2024")], "doc int, column_number int, period string")
     out = {r.period: r.value for r in html_tables.labelled_series(cells, heads, "doc", "revenue", scalars.accounting_number).collect()}
     assert out == {"2023": -2000.0, "2024": None}
+    out = {r.period: r.value for r in html_tables.labelled_series(cells, heads, "doc", "revenue", scalars.accounting_number, reject=["Revenue"]).collect()}
+    assert out == {}
+    out = {(r.metric, r.period): (r.value, r.label) for r in html_tables.metric_series(cells, heads, "doc", {"sales": ["turnover", "revenue from"], "none": ["profit"]}, scalars.accounting_number).collect()}
+    assert out == {("sales", "2023"): (1.0, "revenue from")}
+
+
+def test_wide_grid():
+    assert len(html_tables.grid(f"<table><tr>{'<td>x</td>' * 200}<td colspan=50>y</td></tr></table>")[0]) == 250
+
+
+def test_substring_pairs(spark):
+    """Terms of all lengths, within and across words, against a loop."""
+    texts, terms = ["the cat sat", "concatenate", "日本語のテキスト", "", "ab", None, "xxcat s"], ["cat", "cat s", "the ", "a", "語の", "oncaten", "zzz", "", "ab", "日本語のテ", None]
+    out = text.substring_pairs(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame([(t,) for t in terms], "w string"), "w").collect()
+    assert sorted(map(tuple, out)) == sorted((t, w) for t in texts if t for w in terms if w and w in t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    asked = spark.createDataFrame([(1, "cat"), (1, "cat s"), (1, "cat"), (2, "ab"), (2, "")], "query_id int, term string")
+    got = {(r.query_id, r.doc_id): r.score for r in text.grep_scores(asked, docs, "id", "t").collect()}
+    assert got == {(1, 0): 2.0, (1, 1): 1.0, (1, 6): 2.0, (2, 4): 1.0}
+
+
+def test_routes_gates_and_ranks(spark):
+    frame = spark.createDataFrame
+    requests, routes = frame([(1, "risk"), (1, "other"), (2, "risk")], "doc int, intent string"), frame([("risk", 0, "risks"), ("risk", 1, "summary")], "intent string, position int, section string")
+    spans = frame([(1, "risks", 5, 9), (1, "summary", 1, 2), (2, "summary", 1, 4)], "doc int, section string, start int, end int")
+    out = sorted(tuple(r) for r in documents.routed_sections(requests, routes, spans, ["business", "summary"]).collect())
+    assert out == [(1, "other", 1, "summary", 1, 2), (1, "risk", 0, "risks", 5, 9), (1, "risk", 1, "summary", 1, 2), (2, "risk", 1, "summary", 1, 4)]
+    queries = frame([("a", "pipeline"), ("b", "finance")], "name string, section string")
+    gate = {(r.name): (r.gate, r.score_scale) for r in documents.gated_queries(queries, ["pipeline"], F.lit(False), skip=False).collect()}
+    assert gate == {"a": ("downweight", 0.15), "b": ("active", 1.0)}
+    assert [r.gate for r in documents.gated_queries(queries, ["pipeline"], F.lit(False), skip=True).orderBy("name").collect()] == ["skipped", "active"]
+    hits = frame([(1, True, "summary", 9.0, 1), (2, True, "appendix", 1.0, 1), (3, False, "appendix", 99.0, 1), (4, True, "appendix", 1.0, 3)], "id int, body boolean, role string, score double, span int")
+    ranked = documents.composite_rank(hits, [], F.col("body"), F.col("role"), "score", F.col("span"), ["id"]).orderBy("rank").collect()
+    assert [r.id for r in ranked] == [4, 2, 1, 3]
+    quality_rows = documents.section_map_quality(spans, frame([("risks",), ("summary",), ("business",)], "section string"), frame([(1, 10), (2, 8), (3, 0)], "doc int, n_pages int")).orderBy("doc").collect()
+    assert [tuple(r) for r in quality_rows] == [(1, 2, 1, 7, 0.7), (2, 1, 2, 4, 0.5), (3, 0, 3, 0, None)]
+    ratios = documents.derived_ratios(frame([("a", "total_assets", 200.0), ("a", "total_liabilities", 50.0), ("b", "revenue", 0.0), ("b", "net_profit", 1.0)], "k string, m string, v double"), ["k"], "m", "v").orderBy("k").collect()
+    assert [tuple(r) for r in ratios] == [("a", 25.0, None), ("b", None, None)]
+
+
+def test_joins_side_by_side_and_in_order(spark):
+    frame = spark.createDataFrame
+    a, b = frame([(1, "x"), (1, "y"), (2, "z")], "k int, a string"), frame([(1, "p"), (3, "q")], "k int, b string")
+    out = sorted((r.k, r.place, r.a, r.b) for r in joins.side_by_side(a, b, ["k"], ["a"], ["b"]).collect())
+    assert out == [(1, 0, "x", "p"), (1, 1, "y", None), (2, 0, "z", None), (3, 0, None, "q")]
+    first = joins.first_of_groups([frame([(1, "late")], "k int, v string"), frame([(1, "b"), (2, "b"), (2, "a")], "k int, v string")], ["k"], ["v"]).orderBy("k").collect()
+    assert [(r.k, r.v, r.group) for r in first] == [(1, "late", 0), (2, "a", 1)]
+    both = joins.predictions_with_labels(frame([(1, 1), (2, 0), (3, 1)], "id int, p int"), frame([(1, 1), (2, 1), (4, 0)], "id int, y int"), "id", "p", "y").first()
+    assert tuple(both) == (2, 1, 1, 1)
     assets = spark.createDataFrame([(None, 3.0, 7.0), (5.0, 3.0, 7.0), (10.5, 3.0, 7.0), (20.0, 3.0, 7.0), (4.0, None, 7.0)], "a double, l double, n double")
     assert [r.x for r in assets.select(html_tables.reconciled_assets(F.col("a"), F.col("l"), F.col("n")).alias("x")).collect()] == [10.0, 10.0, 10.5, 10.0, 4.0]
 

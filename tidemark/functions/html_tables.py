@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
-#: Fixed value: columns of a grid at most; a wider table goes on being read, its further cells are left out.
-MOST_COLUMNS = 64
+#: Fixed value: the columns that one cell may span, as in browsers.
+MOST_SPANNED = 1000
 #: Scores of how a cell meets a label.
 EQUAL, PREFIX, CONTAINED, REVERSED = 100, 90, 80, 50
 _YEAR = re.compile(r"(?:19|20)\d{2}")
-_INTERIM = re.compile(r"個月|个月|months? ended|六月三十|8月31日|6月30日")
+#: What in a cell tells an interim period, and what in the headers tells a balance at the year's end and one within it.
+_INTERIM = re.compile(r"個月|个月|中期|interim|截至|止\s*\d+\s*[個个]?月|months? ended", re.IGNORECASE)
+_YEAR_END, _WITHIN_YEAR = re.compile(r"12\s*月\s*31|止年度|年末"), re.compile(r"[689]\s*月\s*30?1?|個月|个月|中期|止\s*八")
 
 
 class _Cells(HTMLParser):
@@ -41,7 +43,7 @@ class _Cells(HTMLParser):
         elif tag in ("td", "th"):
             given = dict(attrs)
             n = lambda k: max(1, int(v)) if (v := (given.get(k) or "1").strip()).isdigit() else 1
-            self.cell, self.span = [], (n("rowspan"), min(n("colspan"), MOST_COLUMNS))
+            self.cell, self.span = [], (n("rowspan"), min(n("colspan"), MOST_SPANNED))
         elif tag == "br" and self.cell is not None:
             self.cell.append(" ")
 
@@ -69,7 +71,7 @@ def grid(html: str) -> list[list[str]]:
         for text, rows, columns in cells:
             while at in row:
                 at += 1
-            for c in range(at, min(at + columns, MOST_COLUMNS)):
+            for c in range(at, at + columns):
                 row[c] = text
                 if rows > 1:
                     below[c] = (text, rows - 1)
@@ -107,38 +109,29 @@ def cells(pages: DataFrame, key: str, html: str) -> DataFrame:
 def year_headers(rows: list[list[str]], within: int = 8, least: int = 3) -> list[str | None]:
     """Period of each column by the first row (of eight) that names three years; None where there is none.
 
-    A year named again is an interim period of it, _i1, _i2, ...; so is a last column of a header whose cells, or those of the row
-    above, speak of months or of a day before the year's end.
+    A year named again is an interim period of it, _i1, _i2, ..., as is one whose own cell speaks of months. The last column alone
+    becomes one as well where its year is new and interim columns stand before it, or where the headers name the year's end and a
+    day within the year.
     """
-    for at, row in enumerate(rows[:within]):
-        years = [m[0] if (m := _YEAR.search(cell)) else None for cell in row]
-        if sum(y is not None for y in years) < least:
-            continue
-        above = rows[at - 1] if at else []
-        seen: dict[str, int] = {}
-        out: list[str | None] = []
-        last = max(i for i, y in enumerate(years) if y)
-        plain_above = [c for c in above if c.strip()]
-        for i, y in enumerate(years):
-            if y is None:
-                out.append(None)
-                continue
-            own = bool(_INTERIM.search(row[i]))
-            tail = i == last and bool(plain_above) and bool(_INTERIM.search(plain_above[-1])) and not own
-            if y in seen or own or tail:
-                seen[y] = seen.get(y, 0) + 1
-                out.append(f"{y}_i{seen[y]}")
-            else:
-                seen[y] = 0
-                out.append(y)
-        # A later year after an interim column of a repeated one goes on with the same kind.
-        first_repeat = next((i for i, p in enumerate(out) if p and "_i" in p), None)
-        if first_repeat is not None:
-            for i in range(first_repeat + 1, len(out)):
-                if out[i] and "_i" not in out[i]:
-                    out[i] = f"{out[i]}_i1"
-        return out
-    return []
+    head = rows[:within]
+    for row in head:
+        out: list[str | None] = [m[0] if (m := _YEAR.search(cell)) else None for cell in row]
+        named = [i for i, year in enumerate(out) if year]
+        if len(named) >= least:
+            break
+    else:
+        return []
+    number: dict[str, int] = {}
+    for i in named:
+        year = out[i]
+        number[year] = number[year] + 1 if year in number else int(bool(_INTERIM.search(row[i])))
+        out[i] = f"{year}_i{number[year]}" if number[year] else year
+    last, before = out[named[-1]], [out[i] for i in named[:-1]]
+    words = " ".join(cell for r in head for cell in r)
+    new_after_interim = any("_i" in x for x in before) and last not in {x.split("_")[0] for x in before}
+    if "_i" not in last and (new_after_interim or _YEAR_END.search(words) and _WITHIN_YEAR.search(words)):
+        out[named[-1]] = f"{last}_i1"
+    return out
 
 
 @udtf(returnType="column_number int, period string")
@@ -157,12 +150,16 @@ def label_score(cell: Column, label: str) -> Column:
     return F.when(c == want, EQUAL).when(c.startswith(want), PREFIX).when(c.contains(want), CONTAINED).when((F.length(c) >= 2) & F.contains(want, c), REVERSED).otherwise(0)
 
 
-def labelled_series(table_cells: DataFrame, headers: DataFrame, key: str, label: str, number) -> DataFrame:
+def labelled_series(table_cells: DataFrame, headers: DataFrame, key: str, label: str, number, reject: Sequence[str] = ()) -> DataFrame:
     """key, row_number, period, value of the row whose first cell meets ``label`` best; of equal rows the first.
 
+    A first cell that holds a word of ``reject`` is no match: "other income" is not income.
+
     ``table_cells`` as from cells(), ``headers``: key, column_number, period. ``number`` parses a cell.
     """
     first = table_cells.where("column_number = 0").withColumn("_s", label_score(F.col("cell"), label)).where("_s > 0")
+    for word in reject:
+        first = first.where(~F.contains(F.lower("cell"), F.lit(word.lower())))
     best = first.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_s"), "row_number"))).where("_n = 1").select(key, "row_number")
     return table_cells.join(best, [key, "row_number"]).join(headers, [key, "column_number"]).select(key, "row_number", "period", number(F.col("cell")).alias("value"))
 
@@ -178,3 +175,14 @@ def reconciled_assets(assets: Column, liabilities: Column, net: Column) -> Colum
     """Total assets from net assets and liabilities where missing, below net assets, or more than 15 % off their sum."""
     total = net + liabilities
     return F.when(total.isNull(), assets).when(assets.isNull() | (assets < net) | (F.abs(assets - total) > 0.15 * F.abs(total)), total).otherwise(assets)
+
+
+def metric_series(table_cells: DataFrame, headers: DataFrame, key: str, labels: dict[str, Sequence[str]], number, reject: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """key, metric, period, value, row_number, label: each metric by the first of its labels that a table has, with the row as evidence."""
+    every = None
+    for metric, names in labels.items():
+        for i, label in enumerate(names):
+            one = labelled_series(table_cells, headers, key, label, number, (reject or {}).get(metric, ())).withColumns({"metric": F.lit(metric), "label": F.lit(label), "_n": F.lit(i)})
+            every = one if every is None else every.unionByName(one)
+    first = every.groupBy(key, "metric").agg(F.min("_n").alias("_n"))
+    return every.join(first, [key, "metric", "_n"]).select(key, "metric", "period", "value", "row_number", "label")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.rules import first_match
+from tidemark.operators.text import substring_pairs
 
 #: Confidence of a section found by a running header on two pages, and of any other.
 BY_HEADER, BY_TITLE = 0.95, 0.8
@@ -25,14 +26,12 @@ def plain_title(title: Column) -> Column:
 def canonical_titles(rows: DataFrame, title: str, aliases: DataFrame) -> DataFrame:
     """``rows`` with section: that of an alias equal to the plain title, else one that it begins with, else one that it contains.
 
-    ``aliases``: alias, section, priority; of equal matches the smaller priority. A small table, broadcast after a count.
+    ``aliases``: alias, section, priority; of equal matches the smaller priority. Neither side is bounded.
     """
-    if aliases.count() > 10_000:
-        raise ValueError("aliases are compared with every distinct title; use at most 10,000")
-    a = F.broadcast(aliases.select(plain_title(F.col("alias")).alias("alias"), "section", "priority"))
+    a = aliases.select(plain_title(F.col("alias")).alias("alias"), "section", "priority")
     distinct = rows.select(title).distinct().withColumn("plain", plain_title(F.col(title)))
     how = F.when(F.col("plain") == F.col("alias"), 0).when(F.col("plain").startswith(F.col("alias")), 1).otherwise(2)
-    hit = distinct.join(a, F.contains("plain", "alias")).groupBy(title).agg(F.min_by("section", F.struct(how, F.col("priority"), F.col("alias"))).alias("section"))
+    hit = distinct.join(substring_pairs(distinct, "plain", a, "alias"), "plain").join(a, "alias").groupBy(title).agg(F.min_by("section", F.struct(how, F.col("priority"), F.col("alias"))).alias("section"))
     return rows.join(hit, title, "left").select(*rows.columns, "section")
 
 
@@ -127,3 +126,49 @@ def report(rows: DataFrame, title: str, columns: Sequence[str], most: int = 200)
     for r in rows.select(*columns).limit(most).collect():
         lines.append("| " + " | ".join("—" if v is None else str(v).replace("|", "\\|") for v in r) + " |")
     return "\n".join(lines) + "\n"
+
+
+def routed_sections(requests: DataFrame, routes: DataFrame, spans: DataFrame, otherwise: Sequence[str]) -> DataFrame:
+    """doc, intent, position, section, start, end of the sections that each request is to be searched in, in the order of its route.
+
+    ``requests``: doc, intent; ``routes``: intent, position, section; ``spans``: doc, section, start, end. An intent without a route
+    takes ``otherwise``; sections that a document lacks are passed over.
+    """
+    default = F.posexplode(F.array(*map(F.lit, otherwise))).alias("position", "section")
+    unknown = requests.join(routes.select("intent").distinct(), "intent", "left_anti").select("doc", "intent", default)
+    wanted = requests.join(routes, "intent").select("doc", "intent", "position", "section").unionByName(unknown)
+    return wanted.join(spans, ["doc", "section"]).select("doc", "intent", "position", "section", "start", "end")
+
+
+def gated_queries(queries: DataFrame, gated: Sequence[str], is_open: Column, skip: bool, scale: float = 0.15) -> DataFrame:
+    """``queries`` with score_scale and gate: those of a gated section are skipped or scaled down unless the gate is open."""
+    shut = F.col("section").isin(*gated) & ~F.coalesce(is_open, F.lit(False))
+    return queries.withColumns({"gate": F.when(shut, "skipped" if skip else "downweight").otherwise("active"), "score_scale": F.when(shut, 0.0 if skip else scale).otherwise(1.0)})
+
+
+def composite_rank(hits: DataFrame, keys: Sequence[str], is_body: Column, role: Column, score: str, span: Column, last: Sequence[str]) -> DataFrame:
+    """Adds rank (from 1): bodies first, then by role (appendix, summary, discussion, other), score and span, each descending."""
+    order = F.when(role == "appendix", 3).when(role == "summary", 2).when(role == "discussion", 1).otherwise(0)
+    w = Window.partitionBy(*keys).orderBy(F.desc(is_body.cast("int")), F.desc(order), F.desc(score), F.desc(span), *last)
+    return hits.withColumn("rank", F.row_number().over(w))
+
+
+def section_map_quality(spans: DataFrame, expected: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc, sections, missing, covered, coverage: of each document the expected sections found and not, and the share of its pages in a section.
+
+    ``spans``: doc, section, start, end; ``expected``: section; ``pages``: doc, n_pages. Spans of one document do not overlap.
+    """
+    found = spans.groupBy("doc").agg(F.countDistinct("section").alias("sections"), F.sum(F.col("end") - F.col("start") + 1).alias("covered"))
+    known = spans.join(expected.select("section").distinct(), "section", "left_semi").groupBy("doc").agg(F.countDistinct("section").alias("known"))
+    all_of = expected.agg(F.countDistinct("section").alias("all"))
+    out = pages.join(found, "doc", "left").join(known, "doc", "left").crossJoin(F.broadcast(all_of)).withColumn("missing", F.col("all") - F.coalesce("known", F.lit(0)))
+    whole = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("doc", whole("sections"), whole("missing"), whole("covered"), F.try_divide(F.coalesce("covered", F.lit(0)), F.col("n_pages")).alias("coverage"))
+
+
+def derived_ratios(metrics: DataFrame, key: Sequence[str], metric: str, value: str) -> DataFrame:
+    """key, debt_to_assets and margin in per cent, of metrics in rows; null without a part, or over zero."""
+    at = lambda name: F.max(F.when(F.col(metric) == name, F.col(value)))
+    parts = metrics.groupBy(*key).agg(at("total_liabilities").alias("_l"), at("total_assets").alias("_a"), at("net_profit").alias("_p"), at("revenue").alias("_r"))
+    share = lambda a, b: F.round(F.try_divide(F.col(a), F.when(F.abs(b) > 1e-9, F.col(b))) * 100, 2)
+    return parts.select(*key, share("_l", "_a").alias("debt_to_assets"), share("_p", "_r").alias("margin"))

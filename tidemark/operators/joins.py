@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.text import substring_pairs
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key by ``order``, which should end with something unique: keep-first, or with descending order keep-last."""
@@ -93,12 +94,10 @@ def ordered_pairs(rows: DataFrame, key: str, group: Sequence[str]) -> DataFrame:
 
 
 def contains_lookup(rows: DataFrame, text: str, terms: DataFrame, term: str, values: Sequence[str]) -> DataFrame:
-    """Left join with the first term (by its text) that occurs in ``text``. Terms are a small table: they are counted before being broadcast."""
-    few = terms.select(F.col(term).alias("_term"), *values).where("_term <> ''")
-    if few.count() > 10_000:
-        raise ValueError("substring joins compare every row with every term; use at most 10,000 terms")
-    hit = rows.select(text).distinct().join(F.broadcast(few), F.col(text).contains(F.col("_term"))).groupBy(text).agg(F.min_by(F.struct("_term", *values), "_term").alias("_hit"))
-    return rows.join(hit, text, "left").select(*rows.columns, F.col("_hit._term").alias("matched_term"), *(F.col(f"_hit.{v}").alias(v) for v in values))
+    """Left join with the first term (by its text) that occurs in ``text``; of rows of one term the smallest values."""
+    known = terms.select(F.col(term).alias("_term"), *values).where("_term <> ''")
+    hit = substring_pairs(rows.select(F.col(text).alias("_in")), "_in", known, "_term").join(known, "_term").groupBy("_in").agg(F.min(F.struct("_term", *values)).alias("_hit"))
+    return rows.join(hit, F.col(text) == F.col("_in"), "left").select(*(rows[c] for c in rows.columns), F.col("_hit._term").alias("matched_term"), *(F.col(f"_hit.{v}").alias(v) for v in values))
 
 
 def orphans(rows: DataFrame, key: str, parent: str) -> DataFrame:
@@ -109,3 +108,30 @@ def orphans(rows: DataFrame, key: str, parent: str) -> DataFrame:
 def new_rows(rows: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What an incremental load still has to add: rows whose key the target lacks, once each."""
     return keep_one(rows.join(target.select(*keys).distinct(), list(keys), "left_anti"), keys, [c for c in rows.columns if c not in keys] or list(keys))
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "place") -> DataFrame:
+    """Adds each row's place (from 0) within its keys, by which another table numbered alike is joined side by side."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def side_by_side(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[Column | str], right_order: Sequence[Column | str]) -> DataFrame:
+    """The n-th row of each key of one table beside the n-th of the other, with its place; what has no counterpart stays, with nulls."""
+    return numbered(left, keys, left_order).join(numbered(right, keys, right_order), [*keys, "place"], "full")
+
+
+def first_of_groups(groups: Sequence[DataFrame], keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Rows of several tables of the same columns, once per key: that of the first table that has it, there the first in order."""
+    tagged = None
+    for i, g in enumerate(groups):
+        part = g.withColumn("group", F.lit(i))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    return keep_one(tagged, keys, ["group", *order])
+
+
+def predictions_with_labels(predictions: DataFrame, labels: DataFrame, key: str, prediction: str, label: str) -> DataFrame:
+    """One row: how many have both, only a prediction, only a label, and how many of the first agree."""
+    p, y = predictions.select(key, F.col(prediction).alias("_p")), labels.select(key, F.col(label).alias("_y"))
+    both = p.join(y, key, "full")
+    known, labelled = F.col("_p").isNotNull(), F.col("_y").isNotNull()
+    return both.agg(F.count_if(known & labelled).alias("matched"), F.count_if(known & ~labelled).alias("unlabelled"), F.count_if(~known & labelled).alias("unpredicted"), F.count_if(F.col("_p") == F.col("_y")).alias("agreeing"))

@@ -13,8 +13,8 @@ TOKEN = r"[a-z0-9]+|[一-鿿]"
 #: BM25 parameters, and the constant that rank fusion adds to a rank.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Tables that are compared with every row are broadcast, after being counted.
-MOST_TERMS = 10_000
+#: Characters of the pieces by which substrings are joined with texts.
+GRAM = 4
 #: Query vectors of a block, on average, and slots over which the vectors are dealt where there are several blocks.
 QUERY_BLOCK, SLOTS = 256, 16
 
@@ -30,39 +30,62 @@ def query_terms(explicit: Column, query: Column, lexicon: Sequence[str] = ()) ->
     return F.array_distinct(F.concat(F.coalesce(explicit, F.array().cast("array<string>")), parts, known))
 
 
-def few(rows: DataFrame, most: int = MOST_TERMS) -> DataFrame:
-    """``rows`` to be broadcast, if they are at most ``most``."""
-    if rows.count() > most:
-        raise ValueError(f"more than {most} rows to be compared with every other row")
-    return F.broadcast(rows)
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct pieces of each size."""
+    of = lambda k: F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(of(k) for k in sizes)))
+
+
+def substring_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """Distinct ``text``, ``term`` of all terms that occur in a text; an equality join on pieces, not each text with each term.
+
+    A term's anchor is its piece of GRAM characters that the fewest texts have (of a shorter term, itself); texts that have the
+    anchor are searched for the term. Neither side is bounded. Nulls and empty terms match nothing.
+    """
+    wanted = terms.select(F.col(term).alias("_term")).where("_term <> ''").distinct()
+    sizes = sorted(r[0] for r in wanted.select(F.least(F.length("_term"), F.lit(GRAM))).distinct().collect()) or [GRAM]
+    own = F.when(F.length("_term") < GRAM, F.array("_term")).otherwise(_grams(F.col("_term"), [GRAM]))
+    grams = texts.select(F.col(text).alias("_text")).where("_text IS NOT NULL").distinct().select("_text", F.explode(_grams(F.col("_text"), sizes)).alias("_gram"))
+    held = grams.groupBy("_gram").agg(F.count("*").alias("_texts"))
+    anchors = wanted.select("_term", F.explode(own).alias("_gram")).join(held, "_gram").groupBy("_term").agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"))
+    return grams.join(anchors, "_gram").where(F.contains("_text", "_term")).select(F.col("_text").alias(text), F.col("_term").alias(term))
 
 
 def grep_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """query_id, doc_id, score: how many distinct terms of each query occur in a text. ``queries``: query_id, term.
 
-    Each text is searched once for every distinct term, and only hits are joined with the queries that have the term.
+    Terms without white space occur within words, so that each distinct word of the corpus is searched, however often and in
+    however many documents it stands; terms with white space are searched in whole texts.
     """
-    terms = few(queries.select("term").distinct().groupBy().agg(F.collect_list("term").alias("terms")))
-    hits = docs.crossJoin(terms).select(F.col(doc_id).alias("doc_id"), F.explode(F.filter("terms", lambda t: F.contains(F.col(text), t))).alias("term"))
-    return hits.join(queries.distinct(), "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    queries = queries.select("query_id", "term").distinct()
+    spaced = F.col("term").rlike(r"\s")
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("word"))
+    hits = words.join(substring_pairs(words, "word", queries.where(~spaced), "term"), "word").select("doc_id", "term").distinct()
+    if not queries.where(spaced).isEmpty():
+        whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        hits = hits.union(whole.join(substring_pairs(whole, "text", queries.where(spaced), "term"), "text").select("doc_id", "term").distinct())
+    return hits.join(queries, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """query_id, doc_id, score by BM25 Okapi over all ``docs``. ``queries``: query_id, term, n (how often the query has it).
 
-    A negative idf is replaced by EPSILON times the mean idf of all terms. Only the queries' terms are kept with their
-    documents; the corpus gives the number of documents with each term, their number, and their mean length.
+    A negative idf is replaced by EPSILON times the mean idf of all terms. One pass gives the number of documents of each term and,
+    under the empty term, of all documents with their sizes; in a second only the queries' terms are kept, before any shuffle
+    where they are few.
     """
     by_doc = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("tokens"))
-    sizes = by_doc.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("mean_size"))
-    frequency = by_doc.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = frequency.crossJoin(F.broadcast(sizes)).withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    size = F.coalesce(F.size("tokens"), F.lit(0))
+    marked = F.array_append(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))), F.lit(""))
+    frequency = by_doc.select(F.explode(marked).alias("term"), size.alias("size")).groupBy("term").agg(F.count("*").alias("df"), F.sum("size").alias("size"))
+    sizes = frequency.where("term = ''").select(F.col("df").alias("docs"), (F.col("size") / F.col("df")).alias("mean_size"))
+    idf = frequency.where("term <> ''").select("term", "df").crossJoin(F.broadcast(sizes)).withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     floor = idf.agg((F.avg("raw") * EPSILON).alias("floor"))
-    asked = idf.join(F.broadcast(queries.select("term").distinct()) if queries.count() <= MOST_TERMS else queries.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(floor))
+    asked = idf.join(queries.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(floor))
     asked = asked.select("term", "mean_size", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    tf = by_doc.select("doc_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).groupBy("doc_id", "size", "term").agg(F.count("*").alias("tf"))
+    tf = by_doc.select("doc_id", size.alias("size"), F.explode("tokens").alias("term")).join(asked, "term").groupBy("doc_id", "size", "term", "mean_size", "idf").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    return tf.join(asked, "term").join(queries, "term").groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("n")).alias("score"))
+    return tf.join(queries, "term").groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("n")).alias("score"))
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, query_id: str, vec_id: str, vector: str) -> DataFrame:

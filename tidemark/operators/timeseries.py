@@ -98,13 +98,23 @@ def range_mean(keys: Sequence[str], date: str, n: int, total: str, count: str) -
     return F.when(seen > 0, F.sum(total).over(w) / seen)
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on equal keys, null with null."""
+    r = right.withColumnsRenamed({k: f"{k}_right" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match &= F.col(k).eqNullSafe(F.col(f"{k}_right"))
+    return left.join(r, match, "left").drop(*(f"{k}_right" for k in keys))
+
+
 def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, values: Sequence[str], by: Sequence[tuple[str, str]] = (), offset_days: int = 0, prefix: str = "", buckets: int | None = None) -> DataFrame:
     """``left`` with the ``values`` of the last row of ``right`` at or before left_time - offset_days, of the same ``by`` keys.
 
     The last *row* counts, also where its values are null; of right rows with equal times the last by ``values`` wins. No
     such row: nulls. Both sides are united and one window runs over them, so that there is one shuffle by the keys and
-    no join; right rows sort first, which makes equal times match. Without ``by`` all rows would meet in one partition, so the
-    time line is cut into ``buckets``-day spans, and the last row of each span is carried into the next.
+    no join; right rows sort first, which makes equal times match. Where keys are few or none, all rows would meet in few
+    partitions, so with ``buckets`` each key's time line is cut into spans of so many days, and the last row of each span is
+    carried into the next.
     """
     keys = [f"_k{i}" for i in range(len(by))]
     value = F.struct(*(F.col(c).alias(f"v{i}") for i, c in enumerate(values)))
@@ -112,15 +122,17 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     r = right.where(F.col(right_time).isNotNull()).select(F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), F.to_date(right_time).alias("_t"), F.lit(0).alias("_side"), value.alias("_v"), *(F.col(b).alias(k) for k, (_, b) in zip(keys, by, strict=True)))
     both = l.unionByName(r)
     order = ["_t", "_side", "_v"]
-    if keys or not buckets:
+    if not buckets:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         found = both.withColumn("_f", F.last("_v", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
     else:
         span = F.floor(F.unix_date("_t") / buckets)
         both = both.withColumn("_span", span)
-        w = Window.partitionBy("_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        last = r.withColumn("_span", span).groupBy("_span").agg(F.max_by("_v", F.struct("_t", "_v")).alias("_last"))
-        # One row per span and a running last over them: as many rows as there are spans, however many the data are.
-        carried = both.select("_span").distinct().join(last, "_span", "left").withColumn("_carry", F.last("_last", ignorenulls=True).over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)))
-        found = both.withColumn("_own", F.last("_v", ignorenulls=True).over(w)).where(F.col("_l").isNotNull()).join(carried.select("_span", "_carry"), "_span", "left").withColumn("_f", F.coalesce("_own", "_carry"))
+        w = Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        last = r.withColumn("_span", span).groupBy(*keys, "_span").agg(F.max_by("_v", F.struct("_t", "_v")).alias("_last"))
+        # One row per key and span and a running last over them: as many rows as there are spans, however many the data are.
+        spans = both.select(*keys, "_span").distinct()
+        carried = _same(spans, last, [*keys, "_span"]).withColumn("_carry", F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)))
+        own = both.withColumn("_own", F.last("_v", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
+        found = _same(own, carried.select(*keys, "_span", "_carry"), [*keys, "_span"]).withColumn("_f", F.coalesce("_own", "_carry"))
     return found.select("_l.*", *(F.col(f"_f.v{i}").alias(f"{prefix}{c}") for i, c in enumerate(values)))

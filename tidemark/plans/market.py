@@ -74,8 +74,8 @@ def heat(spark, sf_dir, keys: list[str]) -> DataFrame:
     """Daily listings, and over (d - N, d]: counts, mean first return, rate of losses. Aggregated to days before any window."""
     events = listings(spark, sf_dir)
     daily = events.groupBy(*keys, F.col("listed").alias("date")).agg(F.count("*").alias("n"), F.sum("return_1").alias("total"), F.count("return_1").alias("known"), F.sum(F.col("is_break").cast("int")).alias("breaks"))
-    span = events.agg(F.min("listed").alias("lo"), F.max("listed").alias("hi"))
-    grid = ts.calendar(span if not keys else events.select(*keys).distinct().crossJoin(F.broadcast(span)), "lo", "hi")
+    span = daily.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    grid = ts.calendar(span if not keys else daily.select(*keys).distinct().crossJoin(F.broadcast(span)), "lo", "hi")
     return grid.join(daily, [*keys, "date"], "left")
 
 
@@ -119,10 +119,10 @@ def event_heat_by_segment(spark, sf_dir):
 @query(f"""WITH {HEAT} SELECT l.o_custkey, l.listed, round(l.return_1, 6) AS return_1, l.is_break, h.count_30d, h.count_90d, h.avg_return_60d, h.break_rate_60d
   FROM listings l ASOF LEFT JOIN heat h ON l.listed - 1 >= h.date""")
 def event_heat_features(spark, sf_dir):
-    """Flagship: each listing with the heat known the day before (J10, as-of)."""
-    days = event_heat_daily(spark, sf_dir)
+    """Flagship: each listing with the heat known the day before (J10). The calendar is dense, so that as-of is equality here."""
+    days = event_heat_daily(spark, sf_dir).withColumn("listed", F.date_add("date", 1)).drop("date")
     events = listings(spark, sf_dir).select("o_custkey", "listed", r6(F.col("return_1"), "return_1"), "is_break")
-    return ts.asof_join(events, days, "listed", "date", ["count_30d", "count_90d", "avg_return_60d", "break_rate_60d"], offset_days=1, buckets=32)
+    return events.join(days, "listed", "left").select("o_custkey", "listed", "return_1", "is_break", "count_30d", "count_90d", "avg_return_60d", "break_rate_60d")
 
 
 @query(f"""WITH {LISTINGS} SELECT o_custkey, listed, segment, round(base_value, 6) AS base_value, round(return_1, 6) AS return_1, round(return_5, 6) AS return_5, round(return_20, 6) AS return_20, is_break,
@@ -184,7 +184,7 @@ def asof_segment_heat(spark, sf_dir):
     """As-of per segment, the day before; days without listings are bridged."""
     events = listings(spark, sf_dir)
     days = events.groupBy("segment", F.col("listed").alias("date")).agg(F.count("*").alias("n"), r6(F.avg("return_1"), "mean_return"))
-    return ts.asof_join(events.select("o_custkey", "segment", "listed"), days, "listed", "date", ["n", "mean_return"], by=[("segment", "segment")], offset_days=1)
+    return ts.asof_join(events.select("o_custkey", "segment", "listed"), days, "listed", "date", ["n", "mean_return"], by=[("segment", "segment")], offset_days=1, buckets=32)
 
 
 @query(f"""WITH {SERIES}, grid AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM series)

@@ -33,13 +33,12 @@ def packed_chunks(spark, sf_dir):
 
 
 def terms(spark, sf_dir):
-    """query_id, term, n: tokens of the first eight words of each benchmark passage."""
-    head = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.tokens(head)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    """query_id, term, n: tokens of each benchmark passage."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
 
 
 TERMS = f"""terms AS (SELECT query_id, term, count(*) AS n FROM (SELECT item_id AS query_id,
-  unnest(regexp_extract_all(lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:8], ' ')), '{TOKEN_SQL}')) AS term FROM benchmark) GROUP BY 1, 2)"""
+  unnest(regexp_extract_all(lower(text), '{TOKEN_SQL}')) AS term FROM benchmark) GROUP BY 1, 2)"""
 GREP = f"""{TERMS}, grep_all AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM documents JOIN terms ON length(term) >= 4 AND contains(text, term) GROUP BY 1, 2),
   grep AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM grep_all)"""
 BM25 = f"""toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_SQL}') AS t FROM documents),
