@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import checkpointed, written
+from tidemark.llm.shared import checkpointed, shuffles_removed, written
 from tidemark.sources import table
 
 WORDS, SIMILARITY = 5, 75
@@ -186,17 +186,8 @@ def _rare_pairs(apart: DataFrame, bodies: DataFrame, words: int, similarity: int
     return met.select("rep", "rep_b").distinct()
 
 
-def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, whole_bucket: int = WHOLE_BUCKET) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach), kept.
-
-    Documents are linked when at least ``similarity`` per cent of the union of their shingle sets is common to both. Null texts
-    and texts without words have empty sets and no links. Rows with a null id are linked with nothing, have a null
-    component_id and are kept. Rows that share an id count as one document, with the links of each. Empty table: no rows.
-    Other columns are ignored, whatever their names.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = written(_sketches(docs, words, bands, rows))
-    known = sketches.where("n > 0 AND doc_id IS NOT NULL")
+def _labels(docs: DataFrame, known: DataFrame, words: int, similarity: int, whole_bucket: int) -> DataFrame:
+    """id, component of each class's representative but the smallest of its component. ``known``: the sketches of sets that are not empty."""
     classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
 
     members = classes.select(F.explode("bands").alias("key"), "rep", "n")
@@ -238,6 +229,22 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = checkpointed(rare.select(F.greatest("rep", "rep_b").alias("a"), F.least("rep", "rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             labels = components(edges.union(_verified(pairs, bodies, words, similarity)))
+    return labels
+
+
+def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, whole_bucket: int = WHOLE_BUCKET) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach), kept.
+
+    Documents are linked when at least ``similarity`` per cent of the union of their shingle sets is common to both. Null texts
+    and texts without words have empty sets and no links. Rows with a null id are linked with nothing, have a null
+    component_id and are kept. Rows that share an id count as one document, with the links of each. Empty table: no rows.
+    Other columns are ignored, whatever their names.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sketches = written(_sketches(docs, words, bands, rows))
+    with shuffles_removed(docs.sparkSession):
+        labels = _labels(docs, sketches.where("n > 0 AND doc_id IS NOT NULL"), words, similarity, whole_bucket)
+    known = sketches.where("n > 0 AND doc_id IS NOT NULL")
 
     # Joined by one column more than grouped by: the join then has exchanges of its own, whose large partitions Spark may split.
     several = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.any_value("n").alias("n")).where("rep < last").select("h1", "h2", "n", "rep")

@@ -31,7 +31,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, each job's shuffle files go when it ends. For tables that are written or checkpointed; what is to be run later is made outside."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -69,6 +70,6 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder, its lineage cut and its shuffle files removed. For wider tables."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
