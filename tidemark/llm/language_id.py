@@ -123,11 +123,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     distance = 1 - cosine[np.arange(len(best)), best]
     short_reach, short_sizes = [], []
     for length in BEGINNINGS:
-        cut = np.stack([counts(t[:length]) for t in sample["beginning"]])
-        cut = cut[cut.sum(axis=1) > 3]
-        if len(cut):
-            short_reach.append(np.quantile(1 - (blank.vectors(cut) @ centroids.T).max(axis=1), REACH_QUANTILE))
-            short_sizes.append(np.quantile(cut.sum(axis=1), 0.5))
+        far, sizes_of = [], []
+        for at in range(0, len(sample), 200):  # the driver holds few vectors of beginnings at a time
+            cut = np.stack([counts(t[:length]) for t in sample["beginning"].iloc[at : at + 200]]).astype("<u2")
+            far.append(1 - (blank.vectors(cut) @ centroids.T).max(axis=1))
+            sizes_of.append(cut.sum(axis=1))
+        far, sizes_of = np.concatenate(far), np.concatenate(sizes_of)
+        if (known := sizes_of > 3).any():
+            short_reach.append(np.quantile(far[known], REACH_QUANTILE))
+            short_sizes.append(np.quantile(sizes_of[known], 0.5))
     by_size = np.argsort(short_sizes, kind="stable")
     long = matrix.sum(axis=1) > max(short_sizes, default=0)
     everywhere = np.quantile(distance[long] if long.any() else distance, REACH_QUANTILE)
