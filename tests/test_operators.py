@@ -83,6 +83,18 @@ def test_levels_and_rules(spark):
     assert {r.id: (r.risk_score, r.codes) for r in rules.scored(flags, "id", hits).collect()} == {1: (45.0, "CASH_RUNWAY_LT_12,CONTINUOUS_LOSS"), 2: (0.0, ""), 3: (15.0, "SINGLE_YEAR_LOSS")}
 
 
+def test_rules_and_samples_beyond_a_broadcast(spark, monkeypatch):
+    """Above the bounds of their broadcasts, results are the same."""
+    flags = spark.createDataFrame([(i, i % 2 == 0, i % 3 == 0) for i in range(20)], "id long, continuous_net_loss boolean, latest_full_year_loss boolean")
+    names = ["continuous_net_loss", "latest_full_year_loss"]
+    told = lambda: sorted(tuple(r) for r in rules.fired(flags, "id", names, rules.rule_table(spark, rules.FINANCE_RULES)).collect())
+    taken = lambda: sorted(tuple(r) for r in quality.stratified(flags.select("id"), "id", F.col("id") % 7, [("even", F.col("id") % 2 == 0, 3), ("low", F.col("id") < 9, 4)], 10).collect())
+    before = told(), taken()
+    monkeypatch.setattr(rules, "BROADCAST_RULES", 0)
+    monkeypatch.setattr(quality, "BROADCAST_KEYS", 0)
+    assert (told(), taken()) == before and len(before[0]) == 13 and len(before[1]) == 10
+
+
 def test_numbers_dates_and_codes(spark):
     rows = ["(1,234.5)", "–", "N/A", "12%", "5", "", "（7）", "x"]
     out = [r.v for r in spark.createDataFrame([(x,) for x in rows], "x string").select(scalars.accounting_number(F.col("x")).alias("v")).collect()]

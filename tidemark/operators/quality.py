@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Samples of up to so many rows have their keys broadcast; those of larger ones are shuffled.
+BROADCAST_KEYS = 100_000
 #: Weights of the page score.
 ROW_WEIGHT, NUMBER_WEIGHT, LENGTH_DIVISOR = 100, 5, 20
 
@@ -46,13 +48,14 @@ def stratified(df: DataFrame, key: str, order: Column, strata: Sequence[tuple[st
     """
     rows = df.select("*", order.alias("_order"))
     taken: DataFrame | None = None
-    left = total
+    left, most = total, total + sum(quota for _, _, quota in strata)
     for name, condition, quota in [*strata, ("fill", F.lit(True), total)]:
         if name == "fill":
             quota = left
         pool = rows.where(condition)
         if taken is not None:
-            pool = pool.join(F.broadcast(taken.select(key)), key, "left_anti")
+            keys = taken.select(key)
+            pool = pool.join(F.broadcast(keys) if most <= BROADCAST_KEYS else keys, key, "left_anti")
         part = pool.orderBy("_order", key).limit(quota).withColumn("stratum", F.lit(name))
         left -= quota
         taken = part if taken is None else taken.unionByName(part)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Up to so many rules (some hundred bytes each) are broadcast; beyond, flags are shuffled to them.
+BROADCAST_RULES = 10_000
 #: Upper ends (exclusive) of the five risk levels; the last level has none.
 LEVELS = ((20, "very_low"), (40, "low"), (60, "medium"), (80, "high"), (100, "very_high"))
 #: Finance rules as code, delta, flag, gate that must be open ('' for none).
@@ -83,6 +85,11 @@ def flags_long(flags: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     return flags.select(key, F.explode(F.array(*(F.when(F.coalesce(F.col(n), F.lit(False)), F.lit(n)) for n in names))).alias("flag")).where("flag IS NOT NULL")
 
 
+def _few(rules: DataFrame) -> DataFrame:
+    """``rules`` with a broadcast hint if they are few enough for one; they are counted."""
+    return F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
+
+
 def fired(flags: DataFrame, key: str, names: Sequence[str], rules: DataFrame, gates: Sequence[str] = (), evidence: str | None = None) -> DataFrame:
     """key, code, delta of each rule that counts: its flag set and not silenced, its gate open, evidence present.
 
@@ -91,7 +98,7 @@ def fired(flags: DataFrame, key: str, names: Sequence[str], rules: DataFrame, ga
     usable = flags.withColumns({a: F.coalesce(F.col(a), F.lit(False)) & ~F.coalesce(F.col(b), F.lit(False)) for a, b in SUPPRESSED.items() if a in names and b in names})
     if evidence:
         usable = usable.where(F.coalesce(F.col(evidence), F.lit(0)) > 0)
-    long = flags_long(usable, key, names).join(F.broadcast(rules), "flag")
+    long = flags_long(usable, key, names).join(_few(rules), "flag")
     if gates:
         is_open = F.array(F.lit(""), *(F.when(F.coalesce(F.col(g), F.lit(False)), F.lit(g)) for g in gates))
         long = long.join(usable.select(key, is_open.alias("_open")), key).where(F.array_contains("_open", F.col("gate")))
