@@ -198,11 +198,11 @@ def _labels(docs: DataFrame, known: DataFrame, words: int, similarity: int, whol
     first_pairs = met.where("rep > first").groupBy("rep").agg(F.min("first").alias("b")).select(F.col("rep").alias("a"), "b")
     bits = written(classes.select("rep", "n", "bits").join(met.select("rep").distinct(), "rep", "left_semi"))
     tested = checkpointed(first_pairs)
-    edges = checkpointed(_verified(tested, bodies, words, similarity))
+    labels = components(_verified(tested, bodies, words, similarity))
+    as_edges = lambda known: known.select(F.col("id").alias("a"), F.col("component").alias("b"))
     turn = 1
     while True:
         turn += 1
-        labels = components(edges)
         placed = met.select("key", "rep", "n").join(bits, ["rep", "n"]).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         end = F.struct("component", "rep", "n", "bits")
         split = placed.groupBy("key").agg(F.min(end).alias("lo"), F.max(end).alias("hi"), F.count("*").alias("size")).where("lo.component < hi.component")
@@ -221,14 +221,14 @@ def _labels(docs: DataFrame, known: DataFrame, words: int, similarity: int, whol
                 break
             continue
         tested = tested.union(pairs)
-        edges = checkpointed(edges.union(_verified(pairs, bodies, words, similarity)))
+        labels = components(as_edges(labels).union(_verified(pairs, bodies, words, similarity)))
 
     large = checkpointed(apart.where(F.col("size") > whole_bucket).select("rep", "component").distinct())
     if not large.isEmpty():
         rare = _rare_pairs(large, bodies, words, similarity).join(bits, "rep").join(bits.select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "rep_b").where(possible)
         pairs = checkpointed(rare.select(F.greatest("rep", "rep_b").alias("a"), F.least("rep", "rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            labels = components(edges.union(_verified(pairs, bodies, words, similarity)))
+            labels = components(as_edges(labels).union(_verified(pairs, bodies, words, similarity)))
     return labels
 
 
