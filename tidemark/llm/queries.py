@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, html_extract, language_id, license_scan, line_dedup, minhash_dedup, mixing, packing, topk_search, warc
+from tidemark.llm import byte_bpe, exact_dedup, filter_audit, html_extract, language_id, license_scan, line_dedup, minhash_dedup, mixing, packing, topk_search, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_topk_search": topk_search.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }
