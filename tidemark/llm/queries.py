@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, exact_dedup, filter_audit, html_extract, language_id, license_scan, line_dedup, minhash_dedup, mixing, packing, topk_search, warc
+from tidemark.llm import byte_bpe, exact_dedup, filter_audit, html_extract, language_id, lexical_search, license_scan, line_dedup, minhash_dedup, mixing, packing, topk_search, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_html_extract": html_extract.op10_html_extract,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op5_topk_search": topk_search.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
 }
