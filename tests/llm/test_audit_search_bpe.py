@@ -125,7 +125,7 @@ def test_bpe_is_the_library(coders):
         assert ids == theirs.encode_ordinary_batch(texts[at : at + 3000], num_threads=1)
         assert [ours.decode(i).decode() for i in ids] == texts[at : at + 3000]
     pieces = list({p.encode() for t in texts for p in ours.split(t)})
-    assert ours.replay(pieces) == [ours.alone(p) for p in pieces]
+    assert ours.replay(pieces) == [tuple(ours.alone(p)) for p in pieces]
 
 
 def test_bpe_forgets(coders, monkeypatch):
@@ -152,6 +152,7 @@ def test_bpe_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS text_bytes")
     out = byte_bpe.decode(byte_bpe.encode(docs)).collect()
     assert sorted((r.doc_id or 0, bytes(r.text_bytes).decode()) for r in out) == sorted((i or 0, t or "") for i, t in rows)
+    assert sorted(map(tuple, byte_bpe.encode(docs, decoded=True).collect()), key=str) == sorted(map(tuple, out), key=str)
     assert [r.ids for r in out if not r.text_bytes] == [[], []] and byte_bpe.encode(docs.limit(0)).collect() == []
     assert byte_bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first().text_bytes == b""
     with pytest.raises(Exception, match="KeyError"):

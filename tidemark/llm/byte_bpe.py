@@ -32,7 +32,7 @@ from tidemark.sources import table
 #: Characters of text that one replay takes, or one text if it is longer.
 AT_ONCE = 4_000_000
 #: Characters of the words and pieces that a Python worker keeps with their ids; beyond that it starts anew.
-KEPT = 12_000_000
+KEPT = 16_000_000
 #: Patterns that cut before each single space and around each line end, where no more white space stands beside it.
 CUT_AT_SPACES = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 #: White space other than single spaces and line ends.
@@ -58,10 +58,8 @@ class ByteBpe:
 
     def _forget(self) -> None:
         self.joined.clear()
-        self.pieces: dict[str, list[int]] = {}
-        #: Words that begin a line, and those after a space, which is part of them; ids of both.
-        self.first: dict[str, list[int]] = {"": []}
-        self.later: dict[str, list[int]] = {}
+        #: Ids of pieces, and of what stands between two places where the pattern is known to cut.
+        self.known: dict[str, tuple[int, ...]] = {"": ()}
         self.kept = 0
 
     @staticmethod
@@ -74,7 +72,13 @@ class ByteBpe:
     @staticmethod
     def is_plain(text: str) -> bool:
         """Whether white space is single spaces, line ends and single empty lines. Where more stands side by side, the pattern decides by what follows."""
-        return not ("  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n") or _OTHER_SPACE(text))
+        return not ("  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "\0" in text or text.endswith("\n\n") or _OTHER_SPACE(text))
+
+    def words(self, text: str) -> list[str]:
+        """The text in parts that the pattern never cuts across: words with the space before them, and line ends; or its pieces."""
+        if self.by_words and self.is_plain(text):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return self.split(text)
 
     def _join(self, a: int, b: int) -> int:
         right = self.joined[a]
@@ -101,7 +105,7 @@ class ByteBpe:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
+    def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each piece (none is empty), all merged together."""
         corpus = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
@@ -169,52 +173,32 @@ class ByteBpe:
                         met(rank, p, places, k)
         out, at = [], 0
         for end in ends:
-            out.append([x for x in ids[at:end] if x >= 0])
+            out.append(tuple([x for x in ids[at:end] if x >= 0]))
             at = end
         for k in gone:
-            out[k] = self.alone(pieces[k])
+            out[k] = tuple(self.alone(pieces[k]))
         return out
 
-    def _learn(self, cut: list[list[str]]) -> list[list[int]]:
-        """Ids of each list of pieces; the pieces that are new are merged together."""
-        new = list(set(chain.from_iterable(cut)).difference(self.pieces))
+    def _learn(self, words: set[str]) -> None:
+        """Enters the words' ids; the pieces that are new are merged together."""
+        cut = {w: self.split(w) for w in words}
+        new = list(set(chain.from_iterable(cut.values())).difference(self.known))
         if new:
-            self.pieces.update(zip(new, self.replay([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
-            self.kept += sum(map(len, new))
-        known = self.pieces
-        return [known[pieces[0]] if len(pieces) == 1 else list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
+            self.known.update(zip(new, self.replay([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
+        known = self.known
+        for w, pieces in cut.items():
+            if w not in known:
+                known[w] = tuple(chain.from_iterable(map(known.__getitem__, pieces)))
+        self.kept += sum(map(len, new)) + sum(map(len, words))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
         if self.kept > KEPT:
             self._forget()
-        if not self.by_words:
-            return self._learn([self.split(t) for t in texts])
-        plain = [self.is_plain(t) for t in texts]
-        odd = iter(self._learn([self.split(t) for t, p in zip(texts, plain, strict=True) if not p]))
-        # Line by line, and each line's words; a single line end is a piece of its own, as is a space before a word part of it.
-        lines = [[line.split(" ") for line in t.split("\n")] if p else [] for t, p in zip(texts, plain, strict=True)]
-        firsts = list({line[0] for text in lines for line in text}.difference(self.first))
-        laters = set()
-        for text in lines:
-            for line in text:
-                laters.update(line[1:])
-        laters = list(laters.difference(self.later))
-        learned = self._learn([self.split(w) for w in firsts] + [self.split(f" {w}") for w in laters])
-        self.first.update(zip(firsts, learned, strict=False))
-        self.later.update(zip(laters, learned[len(firsts) :], strict=True))
-        self.kept += sum(map(len, firsts)) + sum(map(len, laters))
-        first, later, end = self.first, self.later.__getitem__, [int(self.single[10])]
-        out = []
-        for text, p in zip(lines, plain, strict=True):
-            ids: list[int] = [] if p else next(odd)
-            for n, line in enumerate(text):
-                if n:
-                    ids += end
-                ids += first[line[0]]
-                ids += chain.from_iterable(map(later, line[1:]))
-            out.append(ids)
-        return out
+        parts = [self.words(t) for t in texts]
+        self._learn(set(chain.from_iterable(parts)).difference(self.known))
+        known = self.known.__getitem__
+        return [list(chain.from_iterable(map(known, p))) for p in parts]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of ids; an id that the vocabulary doesn't have is an error."""
@@ -240,9 +224,11 @@ def _slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-def encode(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids (array of int), as greedy byte-pair encoding gives them, without special tokens.
 
+    With ``decoded`` also text_bytes, the ids decoded as decode() does, in the same pass over the batches.
+
     Null text counts as empty and has no ids. Very long texts are encoded whole. Null ids of documents stay null, repeated
     rows are encoded each, an empty table gives no rows; other columns are ignored, whatever their names. The vocabulary (file,
     pattern) must be on all machines.
@@ -258,10 +244,11 @@ def encode(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id_col: s
                 ids = coder.encode(texts.slice(at, to - at).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+                back = [pa.array(map(coder.decode, ids), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *back], ["doc_id", "ids", "text_bytes"][: 2 + len(back)])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(batches, "doc_id long, ids array<int>")
+    return texts.mapInArrow(batches, "doc_id long, ids array<int>" + ", text_bytes binary" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: tuple[str, str] | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -286,5 +273,5 @@ def decode(encoded: DataFrame, vocabulary: tuple[str, str] | None = None, id_col
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``, encoded and decoded again."""
-    back = decode(encode(table(spark, sf_dir, "documents")))
+    back = encode(table(spark, sf_dir, "documents"), decoded=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("text_bytes", 256).alias("decoded_sha256"))
