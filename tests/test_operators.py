@@ -120,27 +120,6 @@ def test_html_grid_spans(spark):
     assert len([r for r in out if r.page_id == 1]) == 12 and [r.cell for r in out if r.page_id == 2] == ["only", "words", "here"] and not [r for r in out if r.page_id > 2]
 
 
-def test_year_headers():
-    assert html_tables.year_headers([["千元", "2023", "2024", "2024", "2025"]]) == [None, "2023", "2024", "2024_i1", "2025_i1"]
-    out = html_tables.year_headers([["", "2023年", "2024年", "截至2024年8月31日止八個月", "截至2025年8月31日止八個月"]])
-    assert out[1:3] == ["2023", "2024"] and out[3].startswith("2024_i") and out[4].startswith("2025_i")
-    assert html_tables.year_headers([["附註", "於12月31日", "於8月31日"], ["", "2023年", "2024年", "2025年"]])[1:] == ["2023", "2024", "2025_i1"]
-    assert html_tables.year_headers([["no", "years"]]) == []
-    assert html_tables.year_headers([["2022", "2023", "2023", "2024", "2025"]]) == ["2022", "2023", "2023_i1", "2024", "2025_i1"]
-    assert html_tables.year_headers([["2023", "2024", "2024", "2024"]]) == ["2023", "2024", "2024_i1", "2024_i2"]
-
-
-def test_labelled_series(spark):
-    cells = spark.createDataFrame([(1, 0, 0, "Revenue from sales"), (1, 0, 1, "1"), (1, 1, 0, "Revenue"), (1, 1, 1, "(2,000)"), (1, 1, 2, "–")], "doc int, row_number int, column_number int, cell string")
-    heads = spark.createDataFrame([(1, 1, "2023"), (1, 2, "2024")], "doc int, column_number int, period string")
-    out = {r.period: r.value for r in html_tables.labelled_series(cells, heads, "doc", "revenue", scalars.accounting_number).collect()}
-    assert out == {"2023": -2000.0, "2024": None}
-    out = {r.period: r.value for r in html_tables.labelled_series(cells, heads, "doc", "revenue", scalars.accounting_number, reject=["Revenue"]).collect()}
-    assert out == {}
-    out = {(r.metric, r.period): (r.value, r.label) for r in html_tables.metric_series(cells, heads, "doc", {"sales": ["turnover", "revenue from"], "none": ["profit"]}, scalars.accounting_number).collect()}
-    assert out == {("sales", "2023"): (1.0, "revenue from")}
-
-
 def test_wide_grid():
     assert len(html_tables.grid(f"<table><tr>{'<td>x</td>' * 200}<td colspan=50>y</td></tr></table>")[0]) == 250
 
@@ -184,8 +163,6 @@ def test_joins_side_by_side_and_in_order(spark):
     assert [(r.k, r.v, r.group) for r in first] == [(1, "late", 0), (2, "a", 1)]
     both = joins.predictions_with_labels(frame([(1, 1), (2, 0), (3, 1)], "id int, p int"), frame([(1, 1), (2, 1), (4, 0)], "id int, y int"), "id", "p", "y").first()
     assert tuple(both) == (2, 1, 1, 1)
-    assets = spark.createDataFrame([(None, 3.0, 7.0), (5.0, 3.0, 7.0), (10.5, 3.0, 7.0), (20.0, 3.0, 7.0), (4.0, None, 7.0)], "a double, l double, n double")
-    assert [r.x for r in assets.select(html_tables.reconciled_assets(F.col("a"), F.col("l"), F.col("n")).alias("x")).collect()] == [10.0, 10.0, 10.5, 10.0, 4.0]
 
 
 def test_metrics_edges(spark):

@@ -1,24 +1,15 @@
-"""HTML tables as rows: a table function with row and column spans filled in, and the year headers and labelled series in them."""
+"""HTML tables as rows and grids, with row and column spans filled in. What stands in them is read in operators/statements."""
 
-from __future__ import annotations
-
-import re
-from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
-from pyspark.sql.window import Window
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 #: Fixed value: the columns that one cell may span, as in browsers.
 MOST_SPANNED = 1000
-#: Scores of how a cell meets a label.
-EQUAL, PREFIX, CONTAINED, REVERSED = 100, 90, 80, 50
-_YEAR = re.compile(r"(?:19|20)\d{2}")
-#: What in a cell tells an interim period, and what in the headers tells a balance at the year's end and one within it.
-_INTERIM = re.compile(r"個月|个月|中期|interim|截至|止\s*\d+\s*[個个]?月|months? ended", re.IGNORECASE)
-_YEAR_END, _WITHIN_YEAR = re.compile(r"12\s*月\s*31|止年度|年末"), re.compile(r"[689]\s*月\s*30?1?|個月|个月|中期|止\s*八")
 
 
 class _Cells(HTMLParser):
@@ -82,107 +73,30 @@ def grid(html: str) -> list[list[str]]:
     return [r + [""] * (width - len(r)) for r in out]
 
 
-@udtf(returnType="row_number int, column_number int, cell string")
-class HtmlCells:
-    """All cells of the tables in a text. A text without a table tag gives its white-space words as one row."""
-
-    def eval(self, html: str) -> Iterator[tuple[int, int, str]]:
-        if not html:
-            return
-        rows = grid(html) if "<t" in html.lower() else [html.split()]
-        for r, row in enumerate(rows):
-            for c, cell in enumerate(row):
-                yield r, c, cell
-
-
-def register(spark: SparkSession) -> None:
-    spark.udtf.register("html_cells", HtmlCells)
-
-
-def cells(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, row_number, column_number, cell of each page's tables."""
-    register(pages.sparkSession)
-    pages.select(key, html).createOrReplaceTempView("_html_cells_input")
-    return pages.sparkSession.sql(f"SELECT p.`{key}`, t.* FROM _html_cells_input p, LATERAL html_cells(p.`{html}`) t")
-
-
-def year_headers(rows: list[list[str]], within: int = 8, least: int = 3) -> list[str | None]:
-    """Period of each column by the first row (of eight) that names three years; None where there is none.
-
-    A year named again is an interim period of it, _i1, _i2, ..., as is one whose own cell speaks of months. The last column alone
-    becomes one as well where its year is new and interim columns stand before it, or where the headers name the year's end and a
-    day within the year.
-    """
-    head = rows[:within]
-    for row in head:
-        out: list[str | None] = [m[0] if (m := _YEAR.search(cell)) else None for cell in row]
-        named = [i for i, year in enumerate(out) if year]
-        if len(named) >= least:
-            break
-    else:
-        return []
-    number: dict[str, int] = {}
-    for i in named:
-        year = out[i]
-        number[year] = number[year] + 1 if year in number else int(bool(_INTERIM.search(row[i])))
-        out[i] = f"{year}_i{number[year]}" if number[year] else year
-    last, before = out[named[-1]], [out[i] for i in named[:-1]]
-    words = " ".join(cell for r in head for cell in r)
-    new_after_interim = any("_i" in x for x in before) and last not in {x.split("_")[0] for x in before}
-    if "_i" not in last and (new_after_interim or _YEAR_END.search(words) and _WITHIN_YEAR.search(words)):
-        out[named[-1]] = f"{last}_i1"
-    return out
-
-
-@udtf(returnType="column_number int, period string")
-class YearHeaders:
-    """The period columns of the table in a text."""
-
-    def eval(self, html: str) -> Iterator[tuple[int, str]]:
-        for c, period in enumerate(year_headers(grid(html or ""))):
-            if period:
-                yield c, period
-
-
-def label_score(cell: Column, label: str) -> Column:
-    """How well a cell meets a label: equal, begins with it, holds it, or is held by it (two characters at least); 0 if not at all."""
-    c, want = F.regexp_replace(F.lower(cell), r"\s+", ""), F.regexp_replace(F.lower(F.lit(label)), r"\s+", "")
-    return F.when(c == want, EQUAL).when(c.startswith(want), PREFIX).when(c.contains(want), CONTAINED).when((F.length(c) >= 2) & F.contains(want, c), REVERSED).otherwise(0)
-
-
-def labelled_series(table_cells: DataFrame, headers: DataFrame, key: str, label: str, number, reject: Sequence[str] = ()) -> DataFrame:
-    """key, row_number, period, value of the row whose first cell meets ``label`` best; of equal rows the first.
-
-    A first cell that holds a word of ``reject`` is no match: "other income" is not income.
-
-    ``table_cells`` as from cells(), ``headers``: key, column_number, period. ``number`` parses a cell.
-    """
-    first = table_cells.where("column_number = 0").withColumn("_s", label_score(F.col("cell"), label)).where("_s > 0")
-    for word in reject:
-        first = first.where(~F.contains(F.lower("cell"), F.lit(word.lower())))
-    best = first.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_s"), "row_number"))).where("_n = 1").select(key, "row_number")
-    return table_cells.join(best, [key, "row_number"]).join(headers, [key, "column_number"]).select(key, "row_number", "period", number(F.col("cell")).alias("value"))
-
-
-def text_row_score(line: Column) -> Column:
-    """How much a line of plain text looks like a row of numbers: needs three; ten each, and the digits of the longest."""
-    n = F.regexp_extract_all(line, F.lit(r"\(?-?\d[\d,]*(?:\.\d+)?\)?"), F.lit(0))
-    longest = F.array_max(F.transform(n, lambda x: F.length(F.regexp_replace(x, r"\D", ""))))
-    return F.when(F.size(n) >= 3, F.size(n) * 10 + longest).otherwise(0)
-
-
-def reconciled_assets(assets: Column, liabilities: Column, net: Column) -> Column:
-    """Total assets from net assets and liabilities where missing, below net assets, or more than 15 % off their sum."""
-    total = net + liabilities
-    return F.when(total.isNull(), assets).when(assets.isNull() | (assets < net) | (F.abs(assets - total) > 0.15 * F.abs(total)), total).otherwise(assets)
-
-
-def metric_series(table_cells: DataFrame, headers: DataFrame, key: str, labels: dict[str, Sequence[str]], number, reject: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """key, metric, period, value, row_number, label: each metric by the first of its labels that a table has, with the row as evidence."""
-    every = None
-    for metric, names in labels.items():
-        for i, label in enumerate(names):
-            one = labelled_series(table_cells, headers, key, label, number, (reject or {}).get(metric, ())).withColumns({"metric": F.lit(metric), "label": F.lit(label), "_n": F.lit(i)})
-            every = one if every is None else every.unionByName(one)
-    first = every.groupBy(key, "metric").agg(F.min("_n").alias("_n"))
-    return every.join(first, [key, "metric", "_n"]).select(key, "metric", "period", "value", "row_number", "label")
+def rows(text: str) -> list[list[str]]:
+    """Cells of each table row, spans not repeated; without a table, the words of each line that has some."""
+    if "<table" not in text.lower():
+        return [words for line in text.splitlines() if (words := line.split())]
+    parser = _Cells()
+    parser.feed(text)
+    parser.close()
+    parser._close()
+    return [[cell for cell, _, _ in row] for row in parser.rows if row]
+
+
+@pandas_udf(ArrayType(ArrayType(StringType())))
+def table_rows(texts: pd.Series) -> pd.Series:
+    """Cells of each row of a text's tables; without a table, the words of each line that has some. Null: no rows."""
+    return texts.map(lambda t: rows(t) if t else [])
+
+
+@pandas_udf(ArrayType(ArrayType(StringType())))
+def table_grid(texts: pd.Series) -> pd.Series:
+    """As table_rows(), spanned cells repeated in every place that they cover and short rows filled up. Without a table, its lines' words."""
+    return texts.map(lambda t: (grid(t) if "<table" in t.lower() else rows(t)) if t else [])
+
+
+def cells(pages: DataFrame, key: str, html: str, spans: bool = True) -> DataFrame:
+    """key, row_number, column_number, cell of each page's tables, parsed in Arrow batches."""
+    found = pages.select(F.col(key), F.posexplode((table_grid if spans else table_rows)(html)).alias("row_number", "_row"))
+    return found.select(key, "row_number", F.posexplode("_row").alias("column_number", "cell"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import documents, market, profile, records, retrieval, scoring
+from tidemark.plans import documents, market, profile, records, retrieval, scoring, statements
 
-QUERIES: dict = {**market.QUERIES, **retrieval.QUERIES, **scoring.QUERIES, **profile.QUERIES, **documents.QUERIES, **records.QUERIES}
-ORACLE: dict[str, str] = {**market.ORACLE, **retrieval.ORACLE, **scoring.ORACLE, **profile.ORACLE, **documents.ORACLE, **records.ORACLE}
+QUERIES: dict = {**market.QUERIES, **retrieval.QUERIES, **scoring.QUERIES, **profile.QUERIES, **documents.QUERIES, **records.QUERIES, **statements.QUERIES}
+ORACLE: dict[str, str] = {**market.ORACLE, **retrieval.ORACLE, **scoring.ORACLE, **profile.ORACLE, **documents.ORACLE, **records.ORACLE, **statements.ORACLE}
 FLAGSHIP = "event_heat_features"
