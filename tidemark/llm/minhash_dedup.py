@@ -179,10 +179,17 @@ def _rare_pairs(apart: DataFrame, bodies: DataFrame, words: int, similarity: int
     order = Window.partitionBy("rep", "digest", "n").orderBy("held", "shingle")
     placed = each.join(each.groupBy("shingle").agg(F.count("*").alias("held")), "shingle").withColumn("at", F.row_number().over(order) - 1)
     first = written(placed.where(100 * (F.col("n") - F.col("at")) >= similarity * F.col("n")).select("shingle", "rep", "component", "n", "at"))
-    other = first.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "at")))
+    # Sets of one component needn't meet. Of each shingle, the component with the most sets is only met by the sets of others, so that
+    # rows follow those others, not the square of a large group; a shingle that one component holds alone is met by none.
+    by_component = first.groupBy("shingle", "component").agg(F.count("*").alias("sets"))
+    most = by_component.groupBy("shingle").agg(F.max(F.struct("sets", "component")).alias("most"), F.count("*").alias("components")).where("components > 1").select("shingle", F.col("most.component").alias("largest"))
+    shared = written(first.join(most, "shingle"))
+    other = shared.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "at")))
+    smaller = F.struct("n", "rep") < F.struct("n_b", "rep_b")
+    n, at = F.when(smaller, F.col("n")).otherwise(F.col("n_b")), F.when(smaller, F.col("at")).otherwise(F.col("at_b"))
     room = (100 + similarity) * F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= similarity * (F.col("n") + F.col("n_b"))
-    small = first.where((100 + similarity) * (F.col("n") - F.col("at")) >= 2 * similarity * F.col("n"))
-    met = small.join(other, "shingle").where((F.col("component") != F.col("component_b")) & (F.struct("n", "rep") < F.struct("n_b", "rep_b")) & (100 * F.col("n") >= similarity * F.col("n_b")) & room)
+    sized = (100 * F.least("n", "n_b") >= similarity * F.greatest("n", "n_b")) & ((100 + similarity) * (n - at) >= 2 * similarity * n)
+    met = shared.where("component <> largest").join(other, "shingle").where((F.col("component") != F.col("component_b")) & sized & room)
     return met.select("rep", "rep_b").distinct()
 
 
