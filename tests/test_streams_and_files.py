@@ -77,6 +77,3 @@ def test_stats_fallback_and_incremental_load(spark, tmp_path):
     assert files.first_valid([lambda: df.limit(1), lambda: spark.read.parquet("/nowhere"), lambda: df], 2).count() == 2
     with pytest.raises(ValueError):
         files.first_valid([lambda: df.limit(1)], 2)
-    target = str(tmp_path / "target")
-    assert files.load_new(df, target, ["date"]) == 2
-    assert files.load_new(df.union(spark.createDataFrame([("2024-01-04", 3), ("2024-01-04", 3)], df.schema)), target, ["date"]) == 1 and spark.read.parquet(target).count() == 3

@@ -119,15 +119,37 @@ def write_with_stats(df: DataFrame, path: str, date: str, note: str = "", kind:
     return stats
 
 
-def load_new(rows: DataFrame, path: str, keys: Sequence[str]) -> int:
-    """Appends to the Parquet table at ``path`` the rows whose keys it lacks; may be run again after a failure. Returns their number."""
-    from tidemark.operators.joins import new_rows
-
-    spark = rows.sparkSession
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        rows = new_rows(rows, spark.read.parquet(path), keys)
-    rows = rows.dropDuplicates(list(keys))
-    before = spark.read.parquet(path).count() if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else 0
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+def parsed_chunks(documents: DataFrame, key: str, json_col: str) -> tuple[DataFrame, DataFrame]:
+    """key, position, page, category, text of every chunk in JSON documents of two shapes; and the rows whose JSON does not parse.
+
+    A list is one of chunks. An object has pages (or content) of elements (or items), and may have lists of chunks beside them:
+    risk_chunks, chunks, elements. Chunks without text are left out; null documents have none, and count as parsed.
+    """
+    parsed = documents.select(F.col(key), F.col(json_col).alias("_json"), F.try_parse_json(json_col).alias("_v"))
+    text = lambda v, *names: F.coalesce(*(F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names))
+    page = lambda v, *names: F.coalesce(*(F.nullif(F.try_variant_get(v, f"$.{n}", "long"), F.lit(0)) for n in names))
+    items = lambda v, *names: F.coalesce(*(F.nullif(F.try_variant_get(v, f"$.{n}", "array<variant>").cast("array<string>"), F.array().cast("array<string>")) for n in names), F.array().cast("array<string>"))
+    as_variant = lambda s: F.try_parse_json(s)
+
+    def chunk(v):
+        return F.struct(page(v, "page", "page_number").alias("page"), F.coalesce(text(v, "type", "category"), F.lit("text")).alias("category"), text(v, "content", "excerpt", "text").alias("text"))
+
+    def element(number, v):
+        return F.struct(F.coalesce(number, F.try_variant_get(v, "$.page", "long")).alias("page"), F.coalesce(text(v, "category", "type"), F.lit("text")).alias("category"), text(v, "text", "content", "html").alias("text"))
+
+    v = F.col("_v")
+    whole = F.coalesce(F.try_variant_get(v, "$", "array<variant>").cast("array<string>"), F.array().cast("array<string>"))
+    of_pages = F.flatten(F.transform(items(v, "pages", "content"), lambda p: F.transform(items(as_variant(p), "elements", "items"), lambda e: element(page(as_variant(p), "page", "page_number", "page_idx"), as_variant(e)))))
+    lists = F.concat(whole, *(items(v, n) for n in ("risk_chunks", "chunks", "elements")))
+    chunks = parsed.select(key, F.posexplode(F.concat(of_pages, F.transform(lists, lambda c: chunk(as_variant(c))))).alias("position", "c")).select(key, "position", "c.*").where("text IS NOT NULL")
+    return chunks, parsed.where("_v IS NULL AND _json IS NOT NULL").select(key, F.col("_json").alias(json_col))
+
+
+def keyword_hits(chunks: DataFrame, key: str, keywords: Sequence[str], k: int = 8, excerpt: int = 500) -> DataFrame:
+    """key, position, page, category, excerpt, matched (the keywords in order), score: each key's ``k`` chunks with the most of the keywords, ties by position."""
+    from pyspark.sql.window import Window
+
+    matched = F.filter(F.array(*map(F.lit, keywords)), lambda w: F.contains("text", w))
+    hits = chunks.withColumn("matched", matched).where(F.size("matched") > 0).withColumn("score", F.size("matched").cast("double"))
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "position"))).where(F.col("rank") <= k)
+    return hits.select(key, "position", "page", "category", F.substring("text", 1, excerpt).alias("excerpt"), "matched", "score")
