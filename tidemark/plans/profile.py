@@ -49,14 +49,15 @@ def semi_anti_mark(spark, sf_dir):
     return joins.mark(joins.mark(c, o.where("o_totalprice > 400000"), ["c_custkey"], "large"), o.where("o_orderstatus = 'P'"), ["c_custkey"], "pending").select("c_custkey", "large", "pending")
 
 
-@query("""WITH b AS (SELECT page_id, url, length(html) AS n FROM pages WHERE page_id % 3 <> 0), p AS (SELECT page_id, url || '?v=2' AS url, length(html) + (page_id % 5) - 2 AS n FROM pages WHERE page_id % 2 = 0)
+@query("""WITH x AS (SELECT page_id, url, length(html) AS n, contains(url, '?') AS asked, length(html) > 9000 AS long FROM pages), b AS (SELECT * FROM x WHERE NOT asked OR long), p AS (SELECT page_id, url || '#v2' AS url, n + (length(url) % 5) - 2 AS n FROM x WHERE asked OR long)
   SELECT coalesce(b.page_id, p.page_id) AS page_id, CASE WHEN b.page_id IS NULL OR p.n > b.n THEN p.url ELSE b.url END AS url, CASE WHEN b.page_id IS NULL OR p.n > b.n THEN p.n ELSE b.n END AS n,
     CASE WHEN b.page_id IS NULL THEN 'inserted' WHEN p.page_id IS NULL THEN 'kept' WHEN p.n > b.n THEN 'updated' ELSE 'skipped' END AS action FROM b FULL JOIN p ON b.page_id = p.page_id""")
 def upsert_merge_pages(spark, sf_dir):
-    """Full outer merge; a patch replaces a page only if it is better."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").cast("long").alias("n"))
-    patch = pages.where("page_id % 2 = 0").select("page_id", F.concat("url", F.lit("?v=2")).alias("url"), (F.col("n") + F.col("page_id") % 5 - 2).alias("n"))
-    return joins.upsert(pages.where("page_id % 3 <> 0"), patch, ["page_id"], F.col("p.n") > F.col("b.n"))
+    """Full outer merge of all pages, with or without a query in their address; a patch replaces a page only if it is better."""
+    x = table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").cast("long").alias("n"))
+    asked, long = F.contains("url", F.lit("?")), F.col("n") > 9000
+    patch = x.where(asked | long).select("page_id", F.concat("url", F.lit("#v2")).alias("url"), (F.col("n") + F.length("url") % 5 - 2).alias("n"))
+    return joins.upsert(x.where(~asked | long), patch, ["page_id"], F.col("p.n") > F.col("b.n"))
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), b AS (SELECT o_custkey AS k, min(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import scalars
-from tidemark.operators import documents, islands, joins, metrics
+from tidemark.operators import documents, islands, joins, metrics, rules
 from tidemark.plans.market import r6
 from tidemark.plans.registry import registry
 from tidemark.sources import table
@@ -60,9 +60,9 @@ def ordered_merge(spark, sf_dir):
 def side_by_side(spark, sf_dir):
     """The n-th dearest returned item of a supplier beside the n-th dearest accepted one."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
-    order = [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"]
-    numbered = lambda flag, name: joins.numbered(l.where(F.col("l_returnflag") == flag), ["k"], order).select("k", "place", F.col("l_orderkey").alias(name))
-    return numbered("R", "a").join(numbered("A", "b"), ["k", "place"], "full")
+    of = lambda flag, side: l.where(F.col("l_returnflag") == flag).select("k", F.col("l_orderkey").alias(side), F.col("l_linenumber").alias(f"{side}_line"), F.col("l_extendedprice").alias(f"{side}_price"))
+    order = lambda side: [F.desc(f"{side}_price"), side, f"{side}_line"]
+    return joins.side_by_side(of("R", "a"), of("A", "b"), ["k"], order("a"), order("b")).select("k", "place", "a", "b")
 
 
 @query("""WITH p AS (SELECT doc_id, (length(text) > 600)::INT AS p FROM documents) SELECT count(*) FILTER (p IS NOT NULL AND quality IS NOT NULL) AS matched, count(*) FILTER (p IS NOT NULL AND quality IS NULL) AS unlabelled,
@@ -113,17 +113,18 @@ def json_from_text(spark, sf_dir):
     return e.select("event_id", F.when(one == first, one).alias("k"))
 
 
-@query("""SELECT p_partkey, [floor(p_size * 1.5)::INT, p_size * 2] AS box, CASE WHEN p_size <= 25 THEN p_size::DOUBLE ELSE 25.0 END AS clamped, ['a', 'b'] AS seen, p_name <> '' AS filled FROM part WHERE p_size % 2 = 0""")
+@query("""SELECT p_partkey, [round_even(p_size * 1.5, 0)::INT, round_even(p_size * 0.1, 0)::INT, p_size * 2] AS box, least(greatest(p_size - 5, 0), 25)::DOUBLE AS clamped, CASE WHEN p_size % 3 = p_size % 2 THEN [p_size % 3] ELSE [p_size % 3, p_size % 2] END AS seen, p_name <> '' AS filled FROM part""")
 def boxes_and_bounds(spark, sf_dir):
-    """Boxes scaled, ordered distinct values, bounds, non-empty texts."""
-    p = table(spark, sf_dir, "part").where("p_size % 2 = 0")
-    scaled = F.flatten(F.array(scalars.scaled_box(F.array("p_size"), 1.5), scalars.scaled_box(F.array("p_size"), 2.0)))
-    return p.select("p_partkey", scaled.alias("box"), F.least(F.col("p_size").cast("double"), F.lit(25.0)).alias("clamped"), F.array_distinct(F.array(*map(F.lit, "abab"))).alias("seen"), scalars.nonempty(F.col("p_name")).alias("filled"))
+    """Boxes scaled and rounded half to even, bounds, ordered distinct values, non-empty texts."""
+    p = table(spark, sf_dir, "part")
+    scaled = F.concat(scalars.scaled_box(F.array("p_size"), 1.5), scalars.scaled_box(F.array("p_size"), 0.1), scalars.scaled_box(F.array("p_size"), 2.0))
+    seen = F.array_distinct(F.array(F.col("p_size") % 3, F.col("p_size") % 2, F.col("p_size") % 3))
+    return p.select("p_partkey", scaled.alias("box"), rules.clamp((F.col("p_size") - 5).cast("double"), 0.0, 25.0).alias("clamped"), seen.alias("seen"), scalars.nonempty(F.col("p_name")).alias("filled"))
 
 
 @query("""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0 AS latin, len(regexp_extract_all(text, '[0-9]+(\\.[0-9]+)?\\s*%')) AS percents FROM documents""")
 def text_measures(spark, sf_dir):
-    """Share of Latin letters, and how many percentages a text names."""
+    """Share of Latin letters, and how many percentages a text names; see measures_of_texts for other scripts, series and bounds."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", scalars.mostly_latin(F.col("text")).alias("latin"), F.size(F.regexp_extract_all("text", F.lit(r"([0-9]+(\.[0-9]+)?\s*%)"), F.lit(1))).alias("percents"))
 
@@ -161,22 +162,28 @@ def section_routes(spark, sf_dir):
     return documents.routed_sections(requests, routes, spans, ["assistant", "user"])
 
 
-@query("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'downweight' ELSE 'active' END AS gate, CASE WHEN item_id % 3 = 0 THEN 0.15 ELSE 1.0 END::DOUBLE AS score_scale FROM benchmark""")
+@query("""WITH q AS (SELECT item_id, CASE WHEN contains(text, 'the') THEN 'pipeline' ELSE 'finance' END AS section, length(text) > 200 AS is_open FROM benchmark WHERE text IS NOT NULL)
+  SELECT item_id, 'scaled' AS way, CASE WHEN section = 'pipeline' AND NOT is_open THEN 'downweight' ELSE 'active' END AS gate, CASE WHEN section = 'pipeline' AND NOT is_open THEN 0.15 ELSE 1.0 END::DOUBLE AS score_scale FROM q
+  UNION ALL SELECT item_id, 'skipped', CASE WHEN section = 'pipeline' AND NOT is_open THEN 'skipped' ELSE 'active' END, CASE WHEN section = 'pipeline' AND NOT is_open THEN 0.0 ELSE 1.0 END::DOUBLE FROM q""")
 def query_gating(spark, sf_dir):
-    """P20: queries of a gated section are scaled down while the gate is shut."""
-    section = F.when(F.col("item_id") % 3 == 0, "pipeline").otherwise("finance")
-    q = table(spark, sf_dir, "benchmark").select("item_id", section.alias("section"))
-    return documents.gated_queries(q, ["pipeline"], F.lit(False), skip=False).select("item_id", "gate", "score_scale")
+    """P20: queries of a gated section are scaled down, or skipped, where their gate is shut."""
+    q = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.when(F.contains("text", F.lit("the")), "pipeline").otherwise("finance").alias("section"), (F.length("text") > 200).alias("is_open"))
+    ways = [documents.gated_queries(q, ["pipeline"], F.col("is_open"), skip).select("item_id", F.lit("skipped" if skip else "scaled").alias("way"), "gate", "score_scale") for skip in (False, True)]
+    return ways[0].union(ways[1])
 
 
-@query("""WITH spans AS (SELECT conv_id AS doc, role AS section, min(turn) AS t FROM conversations GROUP BY 1, 2), n AS (SELECT conv_id AS doc, count(*) AS n_pages FROM conversations GROUP BY 1)
-  SELECT n.doc, count(section) AS sections, 4 - count(section) AS missing, count(section) AS covered, count(section) / n_pages AS coverage FROM n LEFT JOIN spans ON spans.doc = n.doc GROUP BY n.doc, n_pages""")
+@query("""WITH c AS (SELECT conv_id AS doc, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS n_pages FROM conversations), f AS (SELECT doc, role AS section, min(n) AS start, any_value(n_pages) AS n_pages FROM c GROUP BY 1, 2),
+  s AS (SELECT doc, section, start, coalesce(lead(start) OVER (PARTITION BY doc ORDER BY start) - 1, n_pages) AS "end", n_pages FROM f WHERE start > 1)
+  SELECT d.doc, count(section) AS sections, 4 - count(section) FILTER (section IN ('user', 'assistant', 'system', 'tool')) AS missing, coalesce(sum("end" - start + 1), 0)::BIGINT AS covered, coalesce(sum("end" - start + 1), 0) / any_value(d.n_pages) AS coverage
+  FROM (SELECT DISTINCT doc, n_pages FROM c) d LEFT JOIN s ON s.doc = d.doc GROUP BY d.doc""")
 def section_map_quality(spark, sf_dir):
-    """Expected sections found and not, and the share of a document that they cover."""
-    c = table(spark, sf_dir, "conversations")
-    spans = c.groupBy(F.col("conv_id").alias("doc"), F.col("role").alias("section")).agg(F.min("turn").alias("start")).withColumn("end", F.col("start"))
+    """Expected sections found and not, and the share of a document that their pages cover; what comes before the first is in none."""
+    of = Window.partitionBy("doc")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), "role", "turn").withColumns({"n": F.row_number().over(of.orderBy("turn")), "n_pages": F.count("*").over(of)})
+    first = c.groupBy("doc", F.col("role").alias("section")).agg(F.min("n").alias("start"), F.any_value("n_pages").alias("n_pages")).where("start > 1")
+    spans = first.withColumn("end", F.coalesce(F.lead("start").over(of.orderBy("start")) - 1, F.col("n_pages")))
     expected = spark.createDataFrame([("user",), ("assistant",), ("system",), ("tool",)], "section string")
-    return documents.section_map_quality(spans, expected, c.groupBy(F.col("conv_id").alias("doc")).agg(F.count("*").alias("n_pages")))
+    return documents.section_map_quality(spans, expected, c.select("doc", "n_pages").distinct())
 
 
 @query("""SELECT c_custkey, round(l / CASE WHEN abs(a) > 1e-9 THEN a END * 100, 2) AS debt_to_assets, round(p / CASE WHEN abs(r) > 1e-9 THEN r END * 100, 2) AS margin FROM

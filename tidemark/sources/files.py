@@ -14,20 +14,30 @@ from tidemark.operators.timeseries import null_nan
 
 #: What Spark reads as it is; other encodings (GBK, GB18030, ...) need a setting of the session.
 CHARSETS = frozenset("us-ascii iso-8859-1 utf-8 utf-16be utf-16le utf-16 utf-32".split())
+#: Column of lines that do not fit a schema.
+UNFIT = "_unfit"
 ELEMENT = "struct<category string, text string, bbox array<int>, image_path string>"
 PAGE = f"page int, parse_status string, rotation_applied int, truncated boolean, table_structure_confidence string, table_quality_score int, elements array<{ELEMENT}>"
 
 
-def _allow(spark: SparkSession, encoding: str) -> None:
+def allow_encoding(spark: SparkSession, encoding: str) -> None:
+    """Lets the session read and write encodings beyond Spark's own list."""
     if encoding.lower() not in CHARSETS:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def csv(spark: SparkSession, path: str, schema: str | StructType, encoding: str = "UTF-8", tolerant: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: str | StructType, encoding: str = "UTF-8", tolerant: bool = False, columns: Sequence[str] | None = None, escape: str = "\\") -> DataFrame:
     """CSV with a header by an explicit schema (codes stay text); NaN is null. ``tolerant`` leaves out lines that do not fit."""
-    _allow(spark, encoding)
-    df = spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "DROPMALFORMED" if tolerant else "PERMISSIVE").csv(path)
-    return null_nan(df.select(*columns) if columns else df)
+    allow_encoding(spark, encoding)
+    reader = spark.read.option("header", True).option("encoding", encoding).option("escape", escape)
+    if not tolerant:
+        df = reader.schema(schema).csv(path)
+        return null_nan(df.select(*columns) if columns else df)
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    df = reader.schema(StructType([*wanted, StructField(UNFIT, StringType())])).option("columnNameOfCorruptRecord", UNFIT).csv(path)
+    # Whether a line fits shows in all its columns; the hash, always true here, has them all read, whichever are selected later.
+    df = df.where(F.col(UNFIT).isNull() & (F.hash(*wanted.names) >= F.lit(-(1 << 31))))
+    return null_nan(df.select(*(columns or wanted.names)))
 
 
 def with_footers(df: DataFrame, first: str, wanted: str) -> DataFrame:
@@ -40,7 +50,7 @@ def index_export(spark: SparkSession, path: str, encoding: str = "UTF-8", separa
 
     The two header rows are read apart, as the first two lines; the data are turned to rows by an unpivot.
     """
-    _allow(spark, encoding)
+    allow_encoding(spark, encoding)
     head = [line.split(separator) for line in spark.read.option("encoding", encoding).text(path).limit(2).toPandas()["value"]]
     names, codes = head[0][1:], head[1][1:]
     schema = StructType([StructField("date", StringType()), *(StructField(f"c{i}", StringType()) for i in range(len(codes)))])
