@@ -23,6 +23,10 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+#: Terms that may be sent to the tasks that cut texts into pieces.
+FEW_TERMS = 100_000
+
+
 def query_terms(explicit: Column, query: Column, lexicon: Sequence[str] = ()) -> Column:
     """Ordered distinct terms: the explicit ones, the query's parts of two characters or more, and the lexicon's that it contains."""
     parts = F.filter(F.split(query, r"\s+"), lambda t: F.length(t) >= 2)
@@ -40,15 +44,22 @@ def substring_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str) ->
     """Distinct ``text``, ``term`` of all terms that occur in a text; an equality join on pieces, not each text with each term.
 
     A term's anchor is its piece of GRAM characters that the fewest texts have (of a shorter term, itself); texts that have the
-    anchor are searched for the term. Neither side is bounded. Nulls and empty terms match nothing.
+    anchor are searched for the term. Pieces carry a text's hash, not the text, which is joined once, at the end; where hashes clash, the
+    search tells. Neither side is bounded: up to FEW_TERMS terms go to the pieces' tasks, more are joined by a shuffle. Nulls and
+    empty terms match nothing.
     """
     wanted = terms.select(F.col(term).alias("_term")).where("_term <> ''").distinct()
-    sizes = sorted(r[0] for r in wanted.select(F.least(F.length("_term"), F.lit(GRAM))).distinct().collect()) or [GRAM]
+    facts = wanted.groupBy(F.least(F.length("_term"), F.lit(GRAM)).alias("size")).agg(F.count("*").alias("n")).collect()  # GRAM rows at most
+    sizes = sorted(r["size"] for r in facts) or [GRAM]
+    small = F.broadcast if sum(r["n"] for r in facts) <= FEW_TERMS else lambda df: df
     own = F.when(F.length("_term") < GRAM, F.array("_term")).otherwise(_grams(F.col("_term"), [GRAM]))
-    grams = texts.select(F.col(text).alias("_text")).where("_text IS NOT NULL").distinct().select("_text", F.explode(_grams(F.col("_text"), sizes)).alias("_gram"))
-    held = grams.groupBy("_gram").agg(F.count("*").alias("_texts"))
-    anchors = wanted.select("_term", F.explode(own).alias("_gram")).join(held, "_gram").groupBy("_term").agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"))
-    return grams.join(anchors, "_gram").where(F.contains("_text", "_term")).select(F.col("_text").alias(text), F.col("_term").alias(term))
+    pieces = wanted.select("_term", F.explode(own).alias("_gram"))
+    base = texts.select(F.col(text).alias("_text")).where("_text IS NOT NULL").distinct().withColumn("_id", F.xxhash64("_text"))
+    grams = base.select("_id", F.explode(_grams(F.col("_text"), sizes)).alias("_gram"))
+    held = grams.join(small(pieces.select("_gram").distinct()), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_texts"))
+    anchors = pieces.join(held, "_gram").groupBy("_term").agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"))
+    met = grams.join(small(anchors), "_gram").select("_id", "_term").distinct()
+    return met.join(base, "_id").where(F.contains("_text", "_term")).select(F.col("_text").alias(text), F.col("_term").alias(term))
 
 
 def grep_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
