@@ -163,3 +163,15 @@ def test_parsed_chunks_sets_malformed_aside(spark):
     assert [(r.doc, r.text) for r in chunks.collect() if r.page is None] == [(2, "e")] and [tuple(r) for r in bad.collect()] == [(3, "{broken")]
     hits = files.keyword_hits(chunks, "doc", ["a", "b", "c"], 1).collect()
     assert [(r.doc, r.matched, r.score) for r in hits if r.doc == 1] == [(1, ["a"], 1.0)]
+
+
+def test_yaml_documents(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("name: finance\nweights: {grep: 0.4, bm25: 0.3}\nsections:\n  - {code: TBL_IS, labels: [收入, 收益]}\nsince: 2024-01-02\nother: 1\n")
+    (tmp_path / "b.yaml").write_text("name: legal\n")
+    schema = "name string, weights map<string,double>, sections array<struct<code string, labels array<string>>>, since string"
+    a, b = files.yaml_documents(spark, str(tmp_path), schema).orderBy("name").collect()
+    assert (a["name"], a.weights, a.sections[0].labels, a.since, b.weights, b.sections) == ("finance", {"grep": 0.4, "bm25": 0.3}, ["收入", "收益"], "2024-01-02", None, None) and a.file.endswith("a.yaml")
+    (tmp_path / "c.yaml").write_text("a: [1")
+    with pytest.raises(Exception, match="yaml|pars"):
+        files.yaml_documents(spark, str(tmp_path / "c.yaml"), schema).collect()

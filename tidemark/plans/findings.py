@@ -89,3 +89,34 @@ def keyword_grep(spark, sf_dir):
     docs = docs.union(c.select(F.col("conv_id") + 1_000_000_000, broken))  # malformed ones are set aside
     chunks, _ = files.parsed_chunks(docs, "conv_id", "json")
     return files.keyword_hits(chunks, "conv_id", _KEYWORDS, 3).withColumn("matched", F.array_join("matched", "|"))
+
+
+_FIELDS = [("statements", True, 2, 1.0, ["The", "Le", "Und", "Re", "In", "La", "An", "De"], ["the", "le", "und"]), ("clauses", False, 0, 0.5, [], ["an", "ou"]), ("gated", False, 0, 0.0, [], ["the"])]
+
+
+@query(f"""WITH q(field, whole_table, min_labels, score_scale, labels, terms) AS (VALUES {", ".join(f"('{f}', {w}, {m}, {s}, {l}::VARCHAR[], {t})" for f, w, m, s, l, t in _FIELDS)}),
+  c AS (SELECT conv_id AS doc, turn AS page, CASE WHEN length(text) > 110 THEN 'table' ELSE 'text' END AS category, CASE WHEN turn = 0 THEN 'summary' WHEN length(text) > 300 THEN 'appendix' ELSE 'other' END AS role, text FROM conversations),
+  h AS (SELECT doc, field, page, 0.01 * len(list_filter(terms, lambda t: contains(lower(text), t))) AS score, 'grep' AS source FROM c, q WHERE score_scale > 0 AND len(list_filter(terms, lambda t: contains(lower(text), t))) > 0),
+  l AS (SELECT DISTINCT doc, field, page, label FROM c, (SELECT field, unnest(labels) AS label FROM q WHERE score_scale > 0) WHERE category = 'table' AND regexp_matches(text, '(?m)^\\s*' || label)),
+  m AS (SELECT doc, field, page, max(score) AS score, list_sort(list(DISTINCT source)) AS sources FROM (SELECT * FROM h UNION ALL SELECT doc, field, page, 0.08 + 0.02 * count(*), 'row_label' FROM l GROUP BY 1, 2, 3) GROUP BY 1, 2, 3),
+  p AS (SELECT m.doc, m.field, m.page, m.score * score_scale AS score, sources, whole_table, min_labels, role, category FROM m JOIN q USING (field) JOIN c ON c.doc = m.doc AND c.page = m.page),
+  t AS (SELECT doc, page, least(max(page) OVER (PARTITION BY doc, page - n), page + 3) AS last FROM (SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY page) AS n FROM c WHERE category = 'table')),
+  w AS (SELECT p.*, last, (SELECT count(DISTINCT label) FROM l WHERE l.doc = p.doc AND l.field = p.field AND l.page BETWEEN p.page AND last) AS labels FROM p JOIN t ON t.doc = p.doc AND t.page = p.page WHERE whole_table AND category = 'table'),
+  g AS (SELECT *, max(last) OVER (PARTITION BY doc, field ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w WHERE labels >= min_labels),
+  k AS (SELECT *, sum(CASE WHEN before IS NULL OR page > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc, field ORDER BY page) AS cluster FROM g),
+  e AS (SELECT doc, field, min(page) AS page, max(last) AS last, min_by(role, page) AS role, max(score) AS score, list_sort(list_distinct(flatten(list(sources)))) AS sources, max(labels) AS labels, 3 AS k FROM k GROUP BY doc, field, cluster
+    UNION ALL SELECT doc, field, page, page, role, score, sources, 0, 5 FROM p WHERE NOT whole_table),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc, field ORDER BY CASE role WHEN 'appendix' THEN 3 WHEN 'summary' THEN 2 WHEN 'discussion' THEN 1 ELSE 0 END DESC, score DESC, last - page DESC, page) AS rank FROM e)
+  SELECT doc, field, rank::INT AS rank, page, last, role, round(score, 9)::DOUBLE AS score, array_to_string(sources, ',') AS sources, labels FROM r WHERE rank <= k""")
+def agent_evidence(spark, sf_dir):
+    """From search and row labels over packs of pages to each field's ranked evidence, gated fields left out, in one plan."""
+    from tidemark.operators import driver
+
+    queries = spark.createDataFrame(_FIELDS, "field string, whole_table boolean, min_labels int, score_scale double, labels array<string>, terms array<string>")
+    category, role = F.when(F.length("text") > 110, "table").otherwise("text"), F.when(F.col("turn") == 0, "summary").when(F.length("text") > 300, "appendix").otherwise("other")
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("chunk"), F.col("turn").alias("page"), category.alias("category"), role.alias("role"), "text")
+    # A dozen of queries goes with every chunk.
+    found = chunks.withColumn("q", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.array(*map(F.lit, terms)).alias("terms")) for f, *_, s, _, terms in _FIELDS if s > 0))))
+    hits = found.withColumn("n", F.size(F.filter("q.terms", lambda t: F.contains(F.lower("text"), t)))).where("n > 0").select("doc", "q.field", "chunk", (0.01 * F.col("n")).alias("score"), F.lit("grep").alias("source"))
+    out = driver.field_evidence(hits, chunks, queries.drop("terms"))
+    return out.withColumns({"score": F.round("score", 9), "sources": F.array_join("sources", ",")})

@@ -163,3 +163,23 @@ def keyword_hits(chunks: DataFrame, key: str, keywords: Sequence[str], k: int =
     hits = chunks.withColumn("matched", matched).where(F.size("matched") > 0).withColumn("score", F.size("matched").cast("double"))
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "position"))).where(F.col("rank") <= k)
     return hits.select(key, "position", "page", "category", F.substring("text", 1, excerpt).alias("excerpt"), "matched", "score")
+
+
+def yaml_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row per YAML file at ``path`` (profiles, lexicons, rules), by an explicit schema, with the file's path as ``file``.
+
+    Dates become text; a key that the schema lacks is left out, one that a file lacks is null. A file that doesn't parse is an error.
+    """
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf(StringType())
+    def as_json(texts: pd.Series) -> pd.Series:
+        try:
+            import yaml
+        except ModuleNotFoundError as error:
+            raise ModuleNotFoundError("YAML files need the yaml package") from error
+        return texts.map(lambda t: json.dumps(yaml.safe_load(t), ensure_ascii=False, default=str))
+
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), as_json("value").alias("json"))
+    return whole.select("file", F.from_json("json", schema).alias("x")).select("file", "x.*")
