@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.scalars import file_name_fields
@@ -170,9 +172,6 @@ def yaml_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Dates become text; a key that the schema lacks is left out, one that a file lacks is null. A file that doesn't parse is an error.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf(StringType())
     def as_json(texts: pd.Series) -> pd.Series:
         try:
@@ -181,5 +180,5 @@ def yaml_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
             raise ModuleNotFoundError("YAML files need the yaml package") from error
         return texts.map(lambda t: json.dumps(yaml.safe_load(t), ensure_ascii=False, default=str))
 
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), as_json("value").alias("json"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), as_json("value").alias("json"))
     return whole.select("file", F.from_json("json", schema).alias("x")).select("file", "x.*")

@@ -35,7 +35,7 @@ def get_text(spark: SparkSession, path: str) -> str | None:
     fs, at = _path(spark, path)
     if not fs.exists(at):
         return None
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def replace(df: DataFrame, path: str, kind: str = "json", keep: int = 2) -> str:
