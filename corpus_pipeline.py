@@ -1,4 +1,8 @@
-"""A corpus pipeline of five operators: from documents to packed sequences."""
+"""A corpus pipeline of five operators: from documents to packed sequences.
+
+Every stage takes the columns of documents (others pass through, whatever their names) and does the same at every size. Texts are
+worked on whole, however long. An empty table goes through every stage and gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -17,27 +21,41 @@ REPETITION_LIMIT = 1.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go."""
+    """Documents that the language model rejects go.
+
+    Null and empty texts, and those without a letter, have no language and go. Null ids and labels do no harm; repeated rows are
+    judged alike. Without any labelled text nothing can be learned, and all stay.
+    """
     return drop_rejected(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents that had no others."""
+    """Repeated lines go, and documents that had no others.
+
+    Of equal lines the one in the smallest id, and there the first, stays; a repeated row loses its lines to the first. Blank lines are
+    kept where they are. Null and empty texts have no lines that were seen before, and stay.
+    """
     return without_repeated_lines(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that with the smallest id.
+
+    Texts without words are near to nothing and stay, as do rows with a null id; rows that share the id that stays are all kept.
+    """
     return one_of_each_group(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of small sources are repeated, as flat a mixture as the repetition limit allows."""
+    """Documents of small sources are repeated, as flat a mixture as the repetition limit allows.
+
+    Null sources are one source of their own. A single source is used once. Null and empty texts count no words.
+    """
     return mixed(docs, REPETITION_LIMIT)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens. Null and empty texts are their end mark alone; repeated rows are packed each."""
     return best_fit_packing(docs)
 
 
