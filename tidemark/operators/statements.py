@@ -128,37 +128,37 @@ def metric_series(statements: DataFrame, key: str, labels: Mapping[str, Mapping[
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     clean = lambda c: strip(F.regexp_replace(strip(c), r"[.．…⋯]+$", ""))
 
-    # Each row goes with the one after it, not with its whole table.
-    pairs = F.zip_with("rows", F.slice("rows", 2, 1 << 30), lambda a, b: F.struct(a.alias("cells"), F.coalesce(b, F.array().cast("array<string>")).alias("next")))
-    rows = own.select("_key", "code", "periods", F.posexplode(pairs).alias("position", "r")).select("_key", "code", "periods", "position", F.col("r.cells").alias("cells"), F.col("r.next").alias("next"))
-    rows = rows.withColumn("name", clean(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))).withColumn("all", F.col("name"))
-    rows = matched(rows, table)
-    going_on = clean(F.coalesce(F.get("next", F.lit(0)), F.lit(""))).rlike(CONTINUATION)
-    rows = rows.withColumn("numbers", row_numbers(F.col("cells")))
-    rows = rows.withColumn("continued", (F.size("numbers") == 0) & going_on)
-    rows = rows.withColumn("score", F.when(F.col("continued"), F.greatest("score", F.lit(CONTINUED))).otherwise(F.col("score"))).withColumn("numbers", F.when(F.col("continued"), row_numbers(F.col("next"))).otherwise(F.col("numbers")))
-    values = F.transform("periods", lambda p, i: F.struct(p.alias("period"), F.get("numbers", i).alias("value")))
-    kept = ["label", "values", "evidence"]
-    rows = rows.where(F.size("numbers") > 0).withColumns({"values": values, "evidence": F.array_join(F.when(F.col("continued"), F.concat("cells", "next")).otherwise(F.col("cells")), " ")})
-    best_row = rows.groupBy("_key", "code", "metric").agg(F.min(F.struct((-F.col("score")).alias("s"), "position", (-F.col("length")).alias("l"), *kept)).alias("row"))
-
-    lines = own.select("_key", "code", "periods", F.posexplode(F.split("text", r"\r\n|[\r\n]")).alias("position", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
-    head = strip(F.regexp_extract("line", r"(?U)^(.*?)(?:\s{2,}|\t|(?=\d)|$)", 1))
-    head = F.when(head != "", head).otherwise(F.substring("line", 1, 40))
-    probes = F.array(F.struct(F.lit(0).alias("probe"), clean(head).alias("name")), F.struct(F.lit(1).alias("probe"), clean(F.substring("line", 1, 48)).alias("name")))
-    lines = lines.withColumn("p", F.explode(probes)).select("_key", "code", "periods", "position", F.col("line").alias("all"), "p.probe", "p.name")
-    lines = matched(lines, table).groupBy("_key", "code", "metric", "position", "all").agg(F.min(F.struct("probe", (-F.col("score")).alias("s"), (-F.col("length")).alias("l"), "label")).alias("m"), F.max("length").alias("length"), F.any_value("periods").alias("periods"))
-    lines = lines.withColumn("numbers", line_numbers(F.substring(F.col("all"), F.col("length") + 1, F.length("all")))).where(F.size("numbers") >= LINE_NUMBERS)
-    lines = lines.withColumns({
-        "values": F.transform("numbers", lambda v, i: F.struct(F.coalesce(F.get("periods", i), F.concat(F.lit("p"), i.cast("string"))).alias("period"), v.alias("value"))),
-        "total": -F.col("m.s") * 10 + F.size("numbers") + F.least(F.abs(F.get("numbers", F.lit(0))) / 1e6, F.lit(50.0)), "label": F.col("m.label"), "evidence": F.col("all"),
-    })
-    best_line = lines.groupBy("_key", "code", "metric").agg(F.min(F.struct((-F.col("total")).alias("s"), "position", *kept)).alias("line"))
-
-    both = best_row.join(best_line, ["_key", "code", "metric"], "full")
+    # Rows (each with the one after it, not with its whole table) and lines are candidates of one pass: texts are read and parsed once.
+    none = F.array().cast("array<string>")
+    first_cell = lambda cells: clean(F.coalesce(F.get(cells, F.lit(0)), F.lit("")))
+    one = lambda line, names, whole, cells, following: F.struct(F.lit(line).alias("line"), names.alias("names"), whole.alias("all"), cells.alias("cells"), following.alias("next"))
+    rows = F.zip_with("rows", F.slice("rows", 2, 1 << 30), lambda a, b: one(False, F.array(first_cell(a)), first_cell(a), F.coalesce(a, none), F.coalesce(b, none)))
+    head = lambda line: strip(F.regexp_extract(line, r"(?U)^(.*?)(?:\s{2,}|\t|(?=\d)|$)", 1))
+    lines = F.transform(F.transform(F.split("text", r"\r\n|[\r\n]"), strip), lambda x: one(True, F.array(clean(F.when(head(x) != "", head(x)).otherwise(F.substring(x, 1, 40))), clean(F.substring(x, 1, 48))), x, none, none))
+    found = own.select("_key", "code", "periods", F.explode(F.array(F.transform(rows, lambda r, i: F.struct(i.alias("position"), r.alias("c"))), F.transform(lines, lambda r, i: F.struct(i.alias("position"), r.alias("c"))))).alias("_all"))
+    found = found.select("_key", "code", "periods", F.explode("_all").alias("x")).select("_key", "code", "periods", "x.position", "x.c.*")
+    found = found.select("*", F.posexplode("names").alias("probe", "name")).drop("names")
+    found = matched(found, table)
+    found = found.groupBy("_key", "code", "metric", "line", "position").agg(
+        F.min(F.struct("probe", (-F.col("score")).alias("s"), (-F.col("length")).alias("l"), "label")).alias("m"), F.max("length").alias("length"), *(F.any_value(c).alias(c) for c in ("periods", "all", "cells", "next")),
+    )
+
+    row = ~F.col("line")
+    own_numbers = F.when(row, row_numbers(F.col("cells"))).otherwise(line_numbers(F.substring(F.col("all"), F.col("length") + 1, F.length("all"))))
+    found = found.withColumn("numbers", own_numbers)
+    found = found.withColumn("continued", row & (F.size("numbers") == 0) & first_cell(F.col("next")).rlike(CONTINUATION))
+    found = found.withColumn("numbers", F.when(F.col("continued"), row_numbers(F.col("next"))).otherwise(F.col("numbers"))).where(F.size("numbers") >= F.when(row, 1).otherwise(LINE_NUMBERS))
+    score = F.when(F.col("continued"), F.greatest(-F.col("m.s"), F.lit(CONTINUED))).otherwise(-F.col("m.s"))
+    line_score = score * 10 + F.size("numbers") + F.least(F.abs(F.get("numbers", F.lit(0))) / 1e6, F.lit(50.0))
+    row_values = F.transform("periods", lambda p, i: F.struct(p.alias("period"), F.get("numbers", i).alias("value")))
+    line_values = F.transform("numbers", lambda v, i: F.struct(F.coalesce(F.get("periods", i), F.concat(F.lit("p"), i.cast("string"))).alias("period"), v.alias("value")))
+    evidence = F.when(row, F.array_join(F.when(F.col("continued"), F.concat("cells", "next")).otherwise(F.col("cells")), " ")).otherwise(F.col("all"))
+    kept = F.struct((-F.when(row, score.cast("double")).otherwise(line_score)).alias("s"), "position", F.when(row, F.col("m.l")).otherwise(0).alias("l"), F.col("m.label").alias("label"), F.when(row, row_values).otherwise(line_values).alias("values"), evidence.alias("evidence"))
+    best = found.groupBy("_key", "code", "metric").agg(F.min(F.when(row, kept)).alias("row"), F.min(F.when(~row, kept)).alias("line"))
+
     by_row = F.coalesce(F.exists("row.values", lambda v: v["value"].isNotNull()), F.lit(False))
-    pick = lambda c: F.when(by_row, F.col(f"row.{c}")).otherwise(F.col(f"line.{c}"))
-    out = both.where(by_row | F.col("line").isNotNull()).select(F.col("_key").alias(key), "code", "metric", F.when(by_row, "row").otherwise("line").alias("source"), *(pick(c).alias(c) for c in ("position", *kept)))
+    pick = lambda c: F.when(by_row, F.col(f"row.{c}")).otherwise(F.col(f"line.{c}")).alias(c)
+    out = best.where(by_row | F.col("line").isNotNull()).select(F.col("_key").alias(key), "code", "metric", F.when(by_row, "row").otherwise("line").alias("source"), *map(pick, ("position", "label", "values", "evidence")))
     return out.select(key, "code", "metric", F.inline("values"), "source", "position", "label", F.substring("evidence", 1, 200).alias("evidence")).select(key, "code", "metric", "period", "value", "source", "position", "label", "evidence")
 
 
