@@ -20,8 +20,9 @@ def label_hits(chunks: DataFrame, queries: DataFrame, categories: Sequence[str]
     wanted = queries.select("field", F.explode("labels").alias("label"))
     body = chunks.where(F.col("category").isin(*categories)).select("doc", "chunk", "text")
     met = body.join(substring_pairs(body, "text", wanted, "label"), "text")
-    quoted = F.concat(F.lit(r"(?m)^\s*\Q"), F.replace("label", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    rows = met.where(F.regexp_like("text", quoted)).select("doc", "chunk", "label").distinct()
+    # Lines without the white space before them; a pattern made of each label would be compiled for each row.
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.col("text")), r"\n\s*", "\n")
+    rows = met.where(F.contains(lines, F.concat(F.lit("\n"), F.col("label")))).select("doc", "chunk", "label").distinct()
     return rows.join(wanted.distinct(), "label").select("doc", "field", "chunk", "label")
 
 
