@@ -207,6 +207,17 @@ def test_license_edges(spark):
     ("CC BY-NC-ND 4.0", "cc-by-nc,cc-by-nc-nd", False),
     ("CC BY 4.0, Creative Commons Attribution-ShareAlike", "cc-by,cc-by-sa", False),
     ("x " * 300_000 + "Boost Software License", "bsl", True),
+    ("SPDX-License-Identifier: MIT and may be used by you", "mit", True),
+    ("SPDX-License-Identifier: MIT and file an issue", "mit", True),
+    ("SPDX-License-Identifier: MIT or (at your option) others", "mit", True),
+    ('SPDX-License-Identifier: "MIT"', "mit", True),
+    ('{"SPDX-License-Identifier": "Apache-2.0 OR MIT"}', "apache-2,mit", True),
+    ("SPDX-License-Identifier: see the file", "unparsed-expression", None),
+    ("SPDX-License-Identifier: Foo-1.1 with Foo-exception", "foo-1.1-with-foo-exception", False),
+    ("GNU GPL v3", "gpl", False),
+    ("under GPLv2, LGPL-2.1-only", "gpl,lgpl", False),
+    ("GPL-3.0-or-later", "gpl", False),
+    ("AGPL-3.0", "agpl", False),
 ])
 def test_license_labels(text, labels, permissive):
     """Identifiers without the marks that follow them, notices of other licences, the end of a very long text."""

@@ -8,7 +8,7 @@ rest of its line is put into postfix order and evaluated. Nothing is shuffled: e
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +34,21 @@ NOTICES = {
     "gnu lesser general public license": ("lgpl", 0.9),
     "gnu library general public license": ("lgpl", 0.9),
     "gnu affero general public license": ("agpl", 0.9),
+    "gnu gpl": ("gpl", 0.7),
+    "gpl v2": ("gpl", 0.7),
+    "gpl v3": ("gpl", 0.7),
+    "gplv2": ("gpl", 0.7),
+    "gplv3": ("gpl", 0.7),
+    "gpl version 2": ("gpl", 0.7),
+    "gpl version 3": ("gpl", 0.7),
+    "gnu lgpl": ("lgpl", 0.7),
+    "lgpl v2": ("lgpl", 0.7),
+    "lgpl v3": ("lgpl", 0.7),
+    "lgplv2": ("lgpl", 0.7),
+    "lgplv3": ("lgpl", 0.7),
+    "gnu agpl": ("agpl", 0.7),
+    "agpl v3": ("agpl", 0.7),
+    "agplv3": ("agpl", 0.7),
     "gnu free documentation license": ("gfdl", 0.9),
     "mozilla public license": ("mpl", 0.9),
     "eclipse public license": ("epl", 0.9),
@@ -80,6 +95,16 @@ NOTICES = {
     "public domain": ("public-domain", 0.5),
     "all rights reserved": ("all-rights-reserved", 0.5),
 }
+#: Words of identifiers that stand without a tag, with their labels; within an expression after a tag the expression speaks. Fixed values.
+SHORT_SURE = 0.6
+SHORT = {"gpl 2 0": "gpl", "gpl 3 0": "gpl", "lgpl 2 0": "lgpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl"}
+#: Identifiers of public licences, or the first parts of theirs ("bsd" of "BSD-3-Clause").
+FAMILIES = {
+    "0bsd", "aal", "afl", "agpl", "apache", "apsl", "artistic", "beerware", "blueoak", "bsd", "bsl", "busl", "cc", "cc0", "cddl", "cdla", "cecill", "cern", "cpal", "cpl",
+    "curl", "ecl", "edl", "efl", "elastic", "epl", "etalab", "eupl", "fsfap", "ftl", "gfdl", "gpl", "hpnd", "icu", "ijg", "imagemagick", "ipl", "isc", "lgpl", "libpng",
+    "lppl", "mit", "mpl", "ms", "mulanpsl", "ncsa", "ntp", "oasis", "odbl", "odc", "ofl", "ogl", "oldap", "openssl", "osl", "parity", "pddl", "php", "postgresql", "psf",
+    "python", "qpl", "ruby", "sissl", "sleepycat", "sspl", "tcl", "ubuntu", "unicode", "unlicense", "upl", "vim", "w3c", "wtfpl", "x11", "xnet", "zlib", "zpl",
+}
 TAG = "spdx license identifier"
 #: Labels, or identifiers by their first part, that allow use without sharing alike.
 PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib", "public-domain", "bsl", "python", "php", "upl", "wtfpl", "pddl", "edl", "afl"}
@@ -87,19 +112,44 @@ RESTRICTED = {"cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "all-rights-
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, expressions string, permissive boolean"
 
 _WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-_TAGGED = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+#: The tag may stand in quotes, as may what follows it.
+_TAGGED = re.compile(r"spdx-license-identifier[\"'`]?\s*:[ \t]*[\"'`]?([^\r\n]*)", re.IGNORECASE)
+#: Names of its user's own, and names that end with a version, are identifiers of whatever family.
+_OWN_NAME = re.compile(r"(?:documentref-[a-z0-9.\-]+:)?(?:licenseref|additionref)-.+|[a-z][a-z0-9.\-]*-\d+(?:\.\d+)+(?:-only|-or-later|\+)?|none|noassertion")
 #: An identifier ends with a letter, a digit or a plus; a stop, hyphen or colon after it belongs to the text.
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.+\-:]*[A-Za-z0-9+])?")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def postfix(expression: str) -> list[str] | None:
-    """Tokens of the longest licence expression at the start, in postfix order; None if it is malformed."""
+def known(identifier: str) -> bool:
+    """Whether a word (in lower case) names a licence or, as what `with` adds may, an exception."""
+    return identifier.rstrip("+").split("-")[0] in FAMILIES or "-exception" in identifier or _OWN_NAME.fullmatch(identifier) is not None
+
+
+def expression_tokens(line: str, named: Callable[[str], bool]) -> list[str]:
+    """Tokens in lower case of the expression at the start of a line; it ends before the first word that is not ``named``, and
+    operators and opening brackets that lead up to such a word belong to the text with it."""
     out: list[str] = []
-    held: list[str] = []
-    operand_next, at = True, 0
-    while m := _TOKEN.match(expression, at):
+    at = 0
+    while m := _TOKEN.match(line, at):
         token = m[0].lower()
+        if token not in _BINDS and token not in "()" and not named(token):
+            while out and (out[-1] in _BINDS or out[-1] == "("):
+                out.pop()
+            break
+        out.append(token)
+        at = m.end()
+        while line[at : at + 1] in (" ", "\t"):
+            at += 1
+    return out
+
+
+def postfix(expression: str, named: Callable[[str], bool] = lambda word: True) -> list[str] | None:
+    """Tokens of the longest licence expression of ``named`` words at the start, in postfix order; None if it is malformed."""
+    out: list[str] = []
+    held: list[str] = []
+    operand_next = True
+    for token in expression_tokens(expression, named):
         if token == "(" and operand_next:
             held.append(token)
         elif token == ")" and not operand_next:
@@ -118,9 +168,6 @@ def postfix(expression: str) -> list[str] | None:
             operand_next = False
         else:
             break  # what follows is no part of the expression
-        at = m.end()
-        while expression[at : at + 1] in (" ", "\t"):
-            at += 1
     if operand_next or "(" in held:
         return None
     return out + held[::-1]
@@ -153,7 +200,7 @@ def _automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    own = {p: (label, sure, False) for p, (label, sure) in NOTICES.items()} | {TAG: ("", 0.0, False)}
+    own = {p: (label, sure, False) for p, (label, sure) in (NOTICES | {p: (label, SHORT_SURE) for p, label in SHORT.items()}).items()} | {TAG: ("", 0.0, False)}
     for phrase, (label, sure, base) in (own | {p: (label, 1.0, True) for p, label in BASE.items()}).items():
         found.add_word(f" {phrase} ", (phrase.count(" ") + 1, label, sure, base))
     found.make_automaton()
@@ -179,21 +226,25 @@ def scan(text: str, automaton) -> tuple:
         score = 1.0
         base.add(label)
         n_base, first, last = n_base + 1, start if first is None else min(first, start), start if last is None else max(last, start)
-    own = {label for label, _ in longest.values()}
+    own = {label for label, sure in longest.values() if sure != SHORT_SURE}
+    short = {label for label, sure in longest.values() if sure == SHORT_SURE} - own
     score = max([score, *(sure for _, sure in longest.values())])
     allowed = [label not in RESTRICTED and _is_permissive(label) for label in base | own]
     expressions = []
     if tagged:
         for m in _TAGGED.finditer(text):
-            tokens = postfix(m[1])
+            tokens = postfix(m[1], known)
             if tokens is None:
                 own.add("unparsed-expression")
                 continue
             labels, ok = evaluate(tokens)
             own |= labels
+            short -= {label.split("-")[0] for name in labels for label in name.split("-with-")}
             allowed.append(ok)
             expressions.append(" ".join(tokens))
             score = 1.0
+    own |= short
+    allowed += [False] * len(short)  # all of them ask for sharing alike
     return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | own)), score, ";".join(expressions), all(allowed) if allowed else None
 
 
@@ -203,7 +254,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are runs of ASCII letters (lower-cased) and digits and of any other characters beyond ASCII. n_base counts every
     place of a base phrase, also where two overlap; first_word and last_word are the smallest and largest word number (from 0)
     at which one starts, else null. labels also hold the other notices' labels (of phrases that start at the same word, the longest one's) and those of the expressions after identifier
-    tags (a malformed one: ``unparsed-expression``). score: how sure the surest notice is. permissive: all licences found
+    tags (a malformed one, or one that begins with a word that names no licence: ``unparsed-expression``; quotes around it are skipped). score: how sure the surest notice is. permissive: all licences found
     are permissive, null if none is. Null text counts as empty: no words, empty labels, score 0.
     Very long texts are scanned whole. Null ids stay null;
     repeated rows are scanned each; empty table: no rows; other columns are ignored, whatever their names.
