@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.scratch import scratch_path
+
 #: Latin words and digits as runs, Chinese characters one by one.
 TOKEN = r"[a-z0-9]+|[一-鿿]"
 #: BM25 parameters, and the constant that rank fusion adds to a rank.
@@ -62,27 +64,33 @@ def substring_pairs(texts: DataFrame, text: str, terms: DataFrame, term: str) ->
     return met.join(base, "_id").where(F.contains("_text", "_term")).select(F.col("_text").alias(text), F.col("_term").alias(term))
 
 
-def grep_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """query_id, doc_id, score: how many distinct terms of each query occur in a text. ``queries``: query_id, term.
+def grep_postings(terms: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """term, doc_id, weight (1) of each distinct term of ``terms`` that occurs in a text.
 
     Terms without white space occur within words, so that each distinct word of the corpus is searched, however often and in
     however many documents it stands; terms with white space are searched in whole texts.
     """
-    queries = queries.select("query_id", "term").distinct()
+    terms = terms.select("term").distinct()
     spaced = F.col("term").rlike(r"\s")
     words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("word"))
-    hits = words.join(substring_pairs(words, "word", queries.where(~spaced), "term"), "word").select("doc_id", "term").distinct()
-    if not queries.where(spaced).isEmpty():
+    hits = words.join(substring_pairs(words, "word", terms.where(~spaced), "term"), "word").select("doc_id", "term").distinct()
+    if not terms.where(spaced).isEmpty():
         whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        hits = hits.union(whole.join(substring_pairs(whole, "text", queries.where(spaced), "term"), "text").select("doc_id", "term").distinct())
-    return hits.join(queries, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+        hits = hits.union(whole.join(substring_pairs(whole, "text", terms.where(spaced), "term"), "text").select("doc_id", "term").distinct())
+    return hits.select("term", "doc_id", F.lit(1.0).alias("weight"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """query_id, doc_id, score by BM25 Okapi over all ``docs``. ``queries``: query_id, term, n (how often the query has it).
+def grep_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """query_id, doc_id, score: how many distinct terms of each query occur in a text. ``queries``: query_id, term."""
+    queries = queries.select("query_id", "term").distinct()
+    return grep_postings(queries, docs, doc_id, text).join(queries, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
+
+
+def bm25_postings(terms: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """term, doc_id, weight by BM25 Okapi over all ``docs``, for the terms of ``terms``.
 
     A negative idf is replaced by EPSILON times the mean idf of all terms. One pass gives the number of documents of each term and,
-    under the empty term, of all documents with their sizes; in a second only the queries' terms are kept, before any shuffle
+    under the empty term, of all documents with their sizes; in a second only the asked terms are kept, before any shuffle
     where they are few.
     """
     by_doc = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("tokens"))
@@ -92,11 +100,62 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) ->
     sizes = frequency.where("term = ''").select(F.col("df").alias("docs"), (F.col("size") / F.col("df")).alias("mean_size"))
     idf = frequency.where("term <> ''").select("term", "df").crossJoin(F.broadcast(sizes)).withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     floor = idf.agg((F.avg("raw") * EPSILON).alias("floor"))
-    asked = idf.join(queries.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(floor))
+    asked = idf.join(terms.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(floor))
     asked = asked.select("term", "mean_size", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     tf = by_doc.select("doc_id", size.alias("size"), F.explode("tokens").alias("term")).join(asked, "term").groupBy("doc_id", "size", "term", "mean_size", "idf").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    return tf.join(queries, "term").groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("n")).alias("score"))
+    return tf.select("term", "doc_id", weight.alias("weight"))
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """query_id, doc_id, score by BM25 over all ``docs``. ``queries``: query_id, term, n (how often the query has it)."""
+    return bm25_postings(queries, docs, doc_id, text).join(queries, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("n")).alias("score"))
+
+
+#: Postings of a query's rarest terms, as a multiple of the ranks asked for, by which its least score is first estimated; and what a
+#: bound must fall short of it to rule a document out, as sums of doubles depend on their order.
+SEED, MARGIN = 4, 1e-6
+
+
+def top_by_terms(postings: DataFrame, wants: DataFrame, most: int, digits: int = 9) -> DataFrame:
+    """What ``ranked`` gives for sums of weight x n, without a row for each query and document that share any term.
+
+    ``postings``: term, doc_id, weight, one row for each pair; ``wants``: query_id, term, n, one row for each pair. Exact, by bounds of terms:
+
+    1. Documents of a query's rarest terms are scored by these; their score of rank ``most`` is its floor, as no weight is negative.
+    2. The terms with the least bounds (largest weight x n) that together stay below the floor find no documents: one that has no other
+       term cannot be among the best. The other terms find the candidates.
+    3. Candidates that could reach the floor with all of the terms left out are looked up in these terms' postings, by term and document.
+
+    Postings are written once to the shared folder and read by each step. A query of common terms alone has all their documents as
+    candidates. If a weight is negative, no bound holds and every pair is scored. Null terms and ids are dropped, as is a weight that is null.
+    """
+    spark = postings.sparkSession
+    path = scratch_path(spark, "postings")
+    postings.where("term IS NOT NULL AND doc_id IS NOT NULL AND weight IS NOT NULL").select("term", "doc_id", "weight").write.parquet(path)
+    postings = spark.read.parquet(path)
+    by_term = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("cap"), F.min("weight").alias("least"))
+    per_query = Window.partitionBy("query_id")
+    asked = wants.where("query_id IS NOT NULL").select("query_id", "term", F.col("n").cast("double").alias("n")).join(by_term, "term").withColumn("cap", F.col("cap") * F.col("n"))
+    earlier = F.sum("df").over(per_query.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
+    asked = asked.withColumn("seed", F.coalesce(earlier, F.lit(0)) < SEED * most)
+    gain = F.sum(F.col("weight") * F.col("n")).alias("score")
+    seeds = postings.join(asked.where("seed").select("query_id", "term", "n"), "term").groupBy("query_id", "doc_id").agg(gain)
+    place = F.row_number().over(per_query.orderBy(F.desc("score"), "doc_id"))
+    floors = seeds.withColumn("place", place).where(F.col("place") <= most).groupBy("query_id").agg(F.max("place").alias("places"), F.min("score").alias("floor"))
+    floors = floors.where(F.col("places") == most).select("query_id", (F.col("floor") - MARGIN).alias("floor"))
+    bounds = asked.join(floors, "query_id", "left")
+    below = F.sum("cap").over(per_query.orderBy("cap", "term").rowsBetween(Window.unboundedPreceding, 0))
+    bounds = bounds.withColumn("finds", F.coalesce(below >= F.col("floor"), F.lit(True)) | (F.min("least").over(per_query) < 0))
+    bounds = bounds.withColumn("left_out", F.sum(F.when(~F.col("finds"), F.col("cap")).otherwise(0.0)).over(per_query))
+    found = postings.join(bounds.where("finds").select("query_id", "term", "n", "left_out", "floor"), "term")
+    found = found.groupBy("query_id", "doc_id").agg(gain, F.max("left_out").alias("left_out"), F.max("floor").alias("floor"))
+    open_ = found.where((F.col("left_out") == 0) | (F.col("score") + F.col("left_out") >= F.col("floor"))).select("query_id", "doc_id", "score", "left_out")
+    others = bounds.where("NOT finds").select("query_id", "term", "n")
+    more = open_.where("left_out > 0").select("query_id", "doc_id").join(others, "query_id").join(postings, ["term", "doc_id"])
+    more = more.select("query_id", "doc_id", (F.col("weight") * F.col("n")).alias("score"))
+    whole = open_.select("query_id", "doc_id", "score").unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    return ranked(whole, most, digits)
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, query_id: str, vec_id: str, vector: str) -> DataFrame:

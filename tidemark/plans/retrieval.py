@@ -56,11 +56,13 @@ VECTOR = """unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBL
 
 
 def grep(spark, sf_dir, most: int):
-    return text.ranked(text.grep_scores(terms(spark, sf_dir).where(F.length("term") >= 4).select("query_id", "term"), table(spark, sf_dir, "documents"), "doc_id", "text"), most)
+    asked = terms(spark, sf_dir).where(F.length("term") >= 4).select("query_id", "term", F.lit(1).alias("n"))
+    return text.top_by_terms(text.grep_postings(asked, table(spark, sf_dir, "documents"), "doc_id", "text"), asked, most)
 
 
 def bm25(spark, sf_dir, most: int):
-    return text.ranked(text.bm25_scores(terms(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text"), most)
+    asked = terms(spark, sf_dir)
+    return text.top_by_terms(text.bm25_postings(asked, table(spark, sf_dir, "documents"), "doc_id", "text"), asked, most)
 
 
 def vector(spark, sf_dir, most: int):
