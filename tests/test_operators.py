@@ -1,8 +1,6 @@
 """Inline cases for operators: edges that the tables do not hold."""
 
-import collections
 import datetime as dt
-import random
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -137,29 +135,6 @@ def test_substring_pairs(spark):
     assert got == {(1, 0): 2.0, (1, 1): 1.0, (1, 6): 2.0, (2, 4): 1.0}
 
 
-def test_top_by_terms(spark):
-    """Against every pair's sum: rare and common terms, ties, a query of common terms alone, one without any, negative weights, nulls."""
-    rng = random.Random(5)
-    for least in (0.0, -0.5):
-        postings = [(f"t{i}", d, max(least, round(rng.gauss(1.0, 0.6), 2))) for i in range(12) for d in range(300) if rng.random() < (0.95, 0.6, 0.2, 0.02)[i % 4]]
-        wants = [(q, f"t{i}", 1 + (q + i) % 3) for q in range(8) for i in range(12) if rng.random() < 0.6] + [(8, "t0", 1), (8, "t4", 1), (9, "none", 2)]
-        by_term = collections.defaultdict(list)
-        for t, d, w in postings:
-            by_term[t].append((d, w))
-        want = []
-        for q in range(10):
-            sums = collections.Counter()
-            for _, t, n in (x for x in wants if x[0] == q):
-                for d, w in by_term[t]:
-                    sums[d] += n * w
-            best = sorted((-round(v, 9), d) for d, v in sums.items() if round(v, 9) > 0)[:5]
-            want += [(q, d, -v, k + 1) for k, (v, d) in enumerate(best)]
-        p = spark.createDataFrame([*postings, (None, 1, 9.0), ("t0", None, 9.0), ("t1", 1000, None)], "term string, doc_id long, weight double")
-        got = text.top_by_terms(p, spark.createDataFrame([*wants, (None, "t0", 1)], "query_id long, term string, n long"), 5)
-        assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == sorted(want)
-    assert text.top_by_terms(p.limit(0), spark.createDataFrame(wants, "query_id long, term string, n long"), 5).isEmpty()
-
-
 def test_routes_gates_and_ranks(spark):
     frame = spark.createDataFrame
     requests, routes = frame([(1, "risk"), (1, "other"), (2, "risk")], "doc int, intent string"), frame([("risk", 0, "risks"), ("risk", 1, "summary")], "intent string, position int, section string")
