@@ -1,11 +1,13 @@
 """Queries against their SQL on the smallest tables, and the others against brute force."""
 
 import collections
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF, same_rows
@@ -246,6 +248,78 @@ def test_mixing_budgets(spark):
     assert sum(small[s] * n for s, n in (("s0", 2000), ("s1", 400), ("s2", 100), ("s3", 20))) == pytest.approx(500, rel=1e-6) and max(small.values()) <= 2.0 + 1e-6
 
 
+def mixture(rows, limit, budget):
+    """Copies of each document, by loops: exponent by bisection on the definition, budgets, whole epochs, then blocks and sub-blocks in
+    their order while they fit. ``rows``: source, tokens, block, sub, id; orders come as functions of source, epoch and block."""
+    tokens = collections.Counter()
+    for r in rows:
+        tokens[r.source] += r.n_tokens
+    full = {s: n for s, n in tokens.items() if n > 0}
+
+    def uses(t):
+        raw = {s: n ** (t - 1) for s, n in full.items()}
+        scale = 1 / min(raw.values()) if budget is None else budget / sum(n**t for n in full.values())
+        return {s: u * scale for s, u in raw.items()}
+
+    def within(t):
+        u = uses(t)
+        return max(u.values()) <= limit * (min(u.values()) if budget is None else 1) * (1 + 1e-12)
+
+    low, high = 0.0, 1.0
+    if within(0.0):
+        high = 0.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if within(mid) else (mid, high)
+    return {s: 1.0 for s in tokens} | uses(high), tokens
+
+
+def test_mixing_is_brute_force(spark):
+    """Every copy of every document, with null sources and texts, a source without tokens, one of a third of all, with and without a budget."""
+    rng = random.Random(3)
+    rows = []
+    for source, n in (("big", 900), ("mid", 300), ("few", 37), (None, 60), ("none", 4)):
+        for _ in range(n):
+            rows.append((len(rows), None if rng.random() < 0.05 else " ".join("w" * rng.randint(1, 40) for _ in range(0 if source == "none" else rng.randint(0, 60))), source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block = lambda k: F.pmod(mixing._hash(k, "doc_id"), F.lit(mixing.BLOCKS)).cast("int")
+    keyed = df.select("doc_id", "source", block(0).alias("block"), block(1).alias("sub"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n"))
+    keyed = keyed.withColumn("n_tokens", F.greatest("n", F.lit(0))).collect()
+    for limit, budget in ((3.0, None), (1.0, None), (1000.0, None), (6.0, 90_000.0)):
+        uses, tokens = mixture(keyed, limit, budget)
+        epochs = {s: int(u + 1e-9) for s, u in uses.items()}
+        places = spark.createDataFrame([(r.doc_id, r.source, epochs[r.source], r.block, r.sub) for r in keyed], "doc_id long, source string, epochs int, block int, sub int")
+        order = {r.doc_id: ((r.b, r.block), (r.s, r.sub)) for r in places.select("doc_id", "block", "sub", mixing._hash(2, "source", "epochs", "block").alias("b"), mixing._hash(3, "source", "epochs", "sub").alias("s")).collect()}
+        want = collections.Counter()
+        for s, u in uses.items():
+            mine = [r for r in keyed if r.source == s]
+            rest = int(round((u - epochs[s]) * tokens[s], 6))
+            spent, by_block = 0, collections.defaultdict(list)
+            for r in mine:
+                want[r.doc_id] += epochs[s]
+                by_block[order[r.doc_id][0]].append(r)
+            for place in sorted(by_block) if rest > 0 else ():
+                here = by_block[place]
+                if spent + sum(r.n_tokens for r in here) <= rest:
+                    spent += sum(r.n_tokens for r in here)
+                    want.update(r.doc_id for r in here)
+                    continue
+                by_sub = collections.defaultdict(list)
+                for r in here:
+                    by_sub[order[r.doc_id][1]].append(r)
+                for sub in sorted(by_sub):
+                    if spent + sum(r.n_tokens for r in by_sub[sub]) > rest:
+                        break
+                    spent += sum(r.n_tokens for r in by_sub[sub])
+                    want.update(r.doc_id for r in by_sub[sub])
+                break
+        got = collections.Counter(r.mix_row.doc_id for r in mixing.mix(df, repetition_limit=limit, budget=budget).collect())
+        assert got == +want
+    one = df.where("source = 'few'")
+    assert mixing.mix(one).count() == 37  # a single source is used once
+    assert mixing.mix(df.limit(0)).isEmpty()
+
+
 def edits(a, b):
     """Levenshtein distance of two rows of units."""
     prev = list(range(len(b) + 1))
