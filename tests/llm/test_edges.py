@@ -230,3 +230,43 @@ def test_shunting_yard():
     assert license_scan.postfix("a or b and c") == ["a", "b", "c", "and", "or"]
     assert ev("MIT or GPL-3.0 and GPL-2.0")[1] is True and ev("(MIT or GPL-3.0) and GPL-2.0")[1] is False
     assert license_scan.postfix("mit or (bsd") is None and license_scan.postfix("") is None and license_scan.postfix("mit) more") == ["mit"]
+
+
+def test_odd_rows_language_id(spark):
+    out = language_id.language_id(docs(spark)).collect()
+    und = [r for r in out if r.doc_id in (3, 4, 6, 7)] + [r for r in out if r.doc_id is None and r.lang_pred == "und"]
+    assert len(und) == 5 and all((r.lang_pred, r.score) == ("und", 0.0) for r in und)  # null, empty, no letter; null id with null text
+    assert all(r.lang_pred in ("en", "de", "fr", "und") and 0 <= r.score <= 1 for r in out)
+    same = [(r.lang_pred, r.score) for r in out if r.doc_id in (1, 2)]
+    assert same[0] == same[1] and len({(r.lang_pred, r.score) for r in out if r.doc_id == 5}) == 1
+
+
+def test_odd_rows_minhash(spark):
+    out = minhash_dedup.minhash_dedup(docs(spark)).collect()
+    by_id = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out if r.doc_id is not None}
+    assert by_id == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (8, 5, True), 6: (1, 6, True), 7: (0, 7, True), 8: (4, 8, True)}
+    assert [r.component_id for r in out if r.doc_id == 5] == [5, 5]
+
+
+def test_odd_rows_packing(spark):
+    out = packing.best_fit_packing(docs(spark)).collect()
+    of = lambda i: sorted((r.piece, r.start, r.length) for r in out if r.doc_id == i)
+    assert of(3) == of(4) == [(0, 0, 1)] and of(1) == of(2)  # null and empty texts: the closing id alone
+    twice = of(5)
+    assert twice == sorted(twice[::2] * 2) and all(n == packing.CAPACITY for _, _, n in twice[:-2]) and [s for _, s, _ in twice[::2]] == [packing.CAPACITY * k for k in range(len(twice) // 2)]
+    assert sum(r.doc_id is None for r in out) == 2
+    by_sequence = {}
+    for r in out:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+
+
+def test_odd_rows_mixed(spark):
+    given = docs(spark)
+    out = mixing.mixed(given)
+    assert out.columns == given.columns and not given.exceptAll(out).count()  # clashing columns stay as they were, each row once at least
