@@ -58,8 +58,9 @@ def anchors(elements: DataFrame, aliases: DataFrame, contents: DataFrame) -> Dat
     known = aliases.select(plain_title(F.col("alias")).alias("_plain"), "section", "priority").groupBy("_plain").agg(F.min_by("section", F.struct("priority", "section")).alias("section"))
     named = _with_text(elements, "header", "title").withColumn("_plain", plain_title(F.col("text"))).join(known, "_plain")
     named = named.select("doc", "page", "section", F.col("category").alias("kind")).distinct()
-    headers, titles = named.where("kind = 'header'"), named.where("kind = 'title'").join(contents, ["doc", "page"], "left_anti")
-    return headers.unionByName(titles.join(headers.select("doc", "page").distinct(), ["doc", "page"], "left_anti"))
+    named = named.join(contents.select("doc", "page", F.lit(True).alias("_contents")), ["doc", "page"], "left").where("kind = 'header' OR _contents IS NULL")
+    headed = F.bool_or(F.col("kind") == "header").over(Window.partitionBy("doc", "page"))
+    return named.withColumn("_headed", headed).where("kind = 'header' OR NOT _headed").select("doc", "page", "section", "kind")
 
 
 def conflicts(found: DataFrame, wins: str | None = None) -> DataFrame:
