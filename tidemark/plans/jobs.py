@@ -37,8 +37,17 @@ def events_before_errors(spark, sf_dir):
     """All events in the time before each error, intervals of very unlike lengths."""
     p = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value", "event_type")
     i = p.where("event_type = 'error'").select(F.col("event_id").alias("from_event"), F.col("user_id").alias("of_user"), (F.col("t") - F.floor(F.col("value") * 600) * 1000000).alias("start"), F.col("t").alias("end"))
-    met = ranges.range_join(p.select("user_id", "t", "value"), "t", i, "start", "end")
-    return met.groupBy("from_event").agg(F.count("*").alias("n"), F.count_if(F.col("user_id") == F.col("of_user")).alias("own"), F.round(F.sum("value"), 4).alias("total"))
+    # Values as decimals, whose running sums are exact; what is no finite number is counted beside them.
+    value, finite = F.col("value"), ~F.isnan("value") & (F.abs("value") != float("inf"))
+    odd = {"nans": F.isnan("value"), "highs": value == float("inf"), "lows": value == float("-inf")}
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    sums = {"n": F.lit(1).cast("long"), "valued": one(value.isNotNull()), "total": F.when(finite, value).cast("decimal(38,14)"), **{k: one(c) for k, c in odd.items()}}
+    of_all = ranges.range_sums(p, "t", i, "start", "end", sums, "from_event")
+    own = ranges.range_sums(p.select("user_id", "t"), "t", i.withColumnRenamed("of_user", "user_id"), "start", "end", {"own": F.lit(1).cast("long")}, "from_event", ["user_id"])
+    total = F.when((F.col("nans") > 0) | (F.col("highs") > 0) & (F.col("lows") > 0), float("nan")).when(F.col("highs") > 0, float("inf")).when(F.col("lows") > 0, float("-inf"))
+    total = F.when(F.col("valued") > 0, total.otherwise(F.round(F.col("total").cast("double"), 4)))
+    met = of_all.where("n > 0").select("from_event", "n", F.lit(0).cast("long").alias("own"), total.alias("total")).unionByName(own.select("from_event", "own"), allowMissingColumns=True)
+    return met.groupBy("from_event").agg(F.max("n").alias("n"), F.sum("own").alias("own"), F.max("total").alias("total")).where("n > 0")
 
 
 @query(retrieval.ORACLE["vector_topk"])
