@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, ranges
+from tidemark.operators import best_documents, metrics, ranges, text
 
 
 def _plan(df) -> str:
@@ -64,3 +64,21 @@ def test_events_before_errors_makes_no_pairs(spark, tmp_path):
     drop_nan = lambda d: {k: tuple("nan" if isinstance(x, float) and math.isnan(x) else x for x in v) for k, v in d.items() if rows[k][3] is not None and not math.isnan(rows[k][3])}
     assert drop_nan(got) == drop_nan(want)
     assert "_level" not in _plan(events_before_errors(spark, str(tmp_path)))  # the step of pairs
+
+
+def test_best_documents_are_those_of_all_pairs(spark, monkeypatch):
+    words = "alpha alphabet beta gam gamma delta 中 中文 x1 Alpha".split()
+    docs = [(i, None if i % 13 == 0 else " ".join(words[(i * j) % 10] for j in range(1, i % 7 + 1)) + ["", "\n" + "zalphaz" * (i % 3)][i % 2]) for i in range(120)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = [(q, w.lower(), 1 + q % 2) for q in range(6) for w in set(map(str.lower, words[q : q + 4]))] + [(7, "none", 1)]
+    asked = spark.createDataFrame(asked, "query_id int, term string, n long")
+    assert best_documents.possible(asked, docs, "doc_id") and not best_documents.possible(asked.withColumn("term", F.concat("term", F.lit(" a"))), docs, "doc_id")
+    assert not best_documents.possible(asked, docs.union(spark.sql("SELECT NULL, 'a'")), "doc_id")
+    monkeypatch.setattr(best_documents, "CELLS", 50)
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "doc_id", F.round("score", 6), "rank").collect())
+    for k in (1, 4, 500):
+        for near, far in ((best_documents.best_documents(docs, "doc_id", "text", k, grep=asked), text.grep_scores(asked, docs, "doc_id", "text")), (best_documents.best_documents(docs, "doc_id", "text", k, bm25=asked), text.bm25_scores(asked, docs, "doc_id", "text"))):
+            assert rows(text.ranked(near, k)) == rows(text.ranked(far, k))
+    empty = best_documents.best_documents(docs.limit(0), "doc_id", "text", 3, grep=asked, bm25=asked)
+    assert empty.count() == 0
+    assert best_documents.best_documents(docs.coalesce(1), "doc_id", "text", 4, grep=asked).count() <= 7 * 4  # a task gives the best only

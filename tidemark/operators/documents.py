@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,6 +86,11 @@ def section_first_score(terms: Column, bm25: Column, length: Column, bonus: Colu
     return terms + BM25_WEIGHT * F.least(F.coalesce(bm25, F.lit(0.0)), F.lit(BM25_CAP)) + length / LENGTH_SCALE + bonus
 
 
+def section_first_scores(terms: np.ndarray, bm25: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """The same of arrays, ``extra`` being the trace of the length and the kind's bonus; -inf where no term is found."""
+    return np.where(terms > 0, terms + BM25_WEIGHT * np.minimum(bm25, BM25_CAP) + extra, -np.inf)
+
+
 def complete_sum(parts: DataFrame, keys: Sequence[str], value: str, least: int = 2) -> DataFrame:
     """keys, total: the sum if no part is null and there are enough of them, else null."""
     return parts.groupBy(*keys).agg(F.when((F.count(value) == F.count("*")) & (F.count("*") >= least), F.sum(value)).alias("total"))

@@ -78,14 +78,13 @@ def grep_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) ->
     return hits.join(queries, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """query_id, doc_id, score by BM25 Okapi over all ``docs``. ``queries``: query_id, term, n (how often the query has it).
+def bm25_weights(queries: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """term, mean_size (tokens of a document), idf of the terms of ``queries`` that ``docs`` have.
 
     A negative idf is replaced by EPSILON times the mean idf of all terms. One pass gives the number of documents of each term and,
-    under the empty term, of all documents with their sizes; in a second only the queries' terms are kept, before any shuffle
-    where they are few.
+    under the empty term, of all documents with their sizes.
     """
-    by_doc = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("tokens"))
+    by_doc = docs.select(tokens(text).alias("tokens"))
     size = F.coalesce(F.size("tokens"), F.lit(0))
     marked = F.array_append(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))), F.lit(""))
     frequency = by_doc.select(F.explode(marked).alias("term"), size.alias("size")).groupBy("term").agg(F.count("*").alias("df"), F.sum("size").alias("size"))
@@ -93,7 +92,17 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) ->
     idf = frequency.where("term <> ''").select("term", "df").crossJoin(F.broadcast(sizes)).withColumn("raw", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     floor = idf.agg((F.avg("raw") * EPSILON).alias("floor"))
     asked = idf.join(queries.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(floor))
-    asked = asked.select("term", "mean_size", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    return asked.select("term", "mean_size", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """query_id, doc_id, score by BM25 Okapi over all ``docs``. ``queries``: query_id, term, n (how often the query has it).
+
+    After the pass for the weights only the queries' terms are kept, before any shuffle where they are few.
+    """
+    by_doc = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("tokens"))
+    size = F.coalesce(F.size("tokens"), F.lit(0))
+    asked = bm25_weights(queries, docs, text)
     tf = by_doc.select("doc_id", size.alias("size"), F.explode("tokens").alias("term")).join(asked, "term").groupBy("doc_id", "size", "term", "mean_size", "idf").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
     return tf.join(queries, "term").groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("n")).alias("score"))

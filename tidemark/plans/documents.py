@@ -59,13 +59,19 @@ def page_roles(spark, sf_dir):
   SELECT query_id, doc_id, round(score, 6) AS score, position FROM r WHERE position <= 10""")
 def section_first_search(spark, sf_dir):
     """Substring terms, capped BM25, a trace of the length, a bonus by kind; then the best ten."""
-    from tidemark.operators import text
+    from tidemark.operators import best_documents, text
 
     t, d = retrieval.terms(spark, sf_dir), table(spark, sf_dir, "documents")
-    g = text.grep_scores(t.where(F.length("term") >= 4).select("query_id", "term"), d, "doc_id", "text")
-    b = text.bm25_scores(t, d, "doc_id", "text").withColumn("bm25", F.round("score", 9)).drop("score")
-    kinds = d.select("doc_id", F.length("text").alias("length"), F.when(F.col("lang") == "en", 0.5).otherwise(0.0).alias("bonus"))
-    s = g.join(b, ["query_id", "doc_id"], "left").join(kinds, "doc_id").withColumn("score", F.round(documents.section_first_score(F.col("score"), F.col("bm25"), F.col("length"), F.col("bonus")), 9))
+    long = t.where(F.length("term") >= 4).select("query_id", "term")
+    bonus = F.when(F.col("lang") == "en", 0.5).otherwise(0.0)
+    if best_documents.possible(t, d, "doc_id"):
+        extra = F.length("text") / documents.LENGTH_SCALE + bonus
+        s = best_documents.best_documents(d, "doc_id", "text", 10, grep=long, bm25=t, score=documents.section_first_scores, extra=extra)
+    else:
+        g = text.grep_scores(long, d, "doc_id", "text")
+        b = text.bm25_scores(t, d, "doc_id", "text").withColumn("bm25", F.round("score", 9)).drop("score")
+        kinds = d.select("doc_id", F.length("text").alias("length"), bonus.alias("bonus"))
+        s = g.join(b, ["query_id", "doc_id"], "left").join(kinds, "doc_id").withColumn("score", F.round(documents.section_first_score(F.col("score"), F.col("bm25"), F.col("length"), F.col("bonus")), 9))
     return text.best(s, 10).select("query_id", "doc_id", r6(F.col("score"), "score"), "position")
 
 
