@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import islands, text
+from tidemark.operators import best_documents, islands, text
 from tidemark.operators.joins import keep_one, overlapping_pairs, points_in_spans
 from tidemark.plans.market import r6
 from tidemark.plans.registry import registry
@@ -56,11 +56,15 @@ VECTOR = """unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBL
 
 
 def grep(spark, sf_dir, most: int):
-    return text.ranked(text.grep_scores(terms(spark, sf_dir).where(F.length("term") >= 4).select("query_id", "term"), table(spark, sf_dir, "documents"), "doc_id", "text"), most)
+    asked, d = terms(spark, sf_dir).where(F.length("term") >= 4).select("query_id", "term"), table(spark, sf_dir, "documents")
+    near = best_documents.possible(asked, d, "doc_id")
+    return text.ranked(best_documents.best_documents(d, "doc_id", "text", most, grep=asked) if near else text.grep_scores(asked, d, "doc_id", "text"), most)
 
 
 def bm25(spark, sf_dir, most: int):
-    return text.ranked(text.bm25_scores(terms(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text"), most)
+    asked, d = terms(spark, sf_dir), table(spark, sf_dir, "documents")
+    near = best_documents.possible(asked, d, "doc_id")
+    return text.ranked(best_documents.best_documents(d, "doc_id", "text", most, bm25=asked) if near else text.bm25_scores(asked, d, "doc_id", "text"), most)
 
 
 def vector(spark, sf_dir, most: int):
