@@ -1,11 +1,13 @@
 """Steps that used to make a row for each pair or n-gram: the same results without those rows."""
 
 import math
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import best_documents, metrics, ranges, text
+from tidemark.functions import html_tables
+from tidemark.operators import best_documents, metrics, quality, ranges, text
 
 
 def _plan(df) -> str:
@@ -82,3 +84,29 @@ def test_best_documents_are_those_of_all_pairs(spark, monkeypatch):
     empty = best_documents.best_documents(docs.limit(0), "doc_id", "text", 3, grep=asked, bm25=asked)
     assert empty.count() == 0
     assert best_documents.best_documents(docs.coalesce(1), "doc_id", "text", 4, grep=asked).count() <= 7 * 4  # a task gives the best only
+
+
+def test_quartiles_without_all_values_in_a_task(spark, monkeypatch):
+    tables = [[], [None], [3.0], [1.0, 2.0], [5.0] * 50 + [7.0], [float(i * i % 101) for i in range(400)] + [None, 1e300, -1e300], [float("nan"), 1.0, 2.0]]
+    for accuracy, margin in ((10_000, 3), (10, 0)):
+        monkeypatch.setattr(quality, "ACCURACY", accuracy)
+        monkeypatch.setattr(quality, "MARGIN", margin)
+        for rows in tables:
+            df = spark.createDataFrame([(x,) for x in rows], "x double")
+            want = df.agg(*(F.round(F.percentile("x", F.lit(p)), 4) for p in (0.25, 0.5, 0.75))).first()
+            assert repr(tuple(quality.describe(df, "x").select("q25", "q50", "q75").first())) == repr(tuple(want))
+    assert "percentile(" not in _plan(quality.describe(df, "x"))
+
+
+def test_plain_tables_are_read_as_the_parser_reads_them(monkeypatch):
+    draw = random.Random(1)
+    pieces = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", "<br>", "<p>", "</p>", "a", " b\n c ", ">", "\u3000", "甲", ""]
+    odd = ["&amp;", "<td colspan=2>", "<!-- x -->", "<TR>", "<b>", "<br/>", "< "]
+    texts = ["<table>" + "".join(draw.choice(pieces + odd * (k % 2)) for _ in range(k % 30)) for k in range(3000)]
+    fast = [html_tables.rows(t) for t in texts]
+    with monkeypatch.context() as m:
+        m.setattr(html_tables, "PLAIN", frozenset())
+        m.setattr(html_tables, "_plain_rows", None)
+        assert fast == [html_tables.rows(t) for t in texts]
+    monkeypatch.setattr(html_tables, "_Cells", None)  # plain tables do without the parser
+    assert html_tables.rows("<table><tr><td>a<br>b</td><td>c</table>") == [["a b", "c"]]

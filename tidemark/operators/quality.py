@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Samples of up to so many rows have their keys broadcast; those of larger ones are shuffled.
 BROADCAST_KEYS = 100_000
 #: Weights of the page score.
 ROW_WEIGHT, NUMBER_WEIGHT, LENGTH_DIVISOR = 100, 5, 20
 
+#: How near approximate quantiles are (one in so many rows), and by how many such steps bounds are set apart.
+ACCURACY, MARGIN = 10_000, 3
+
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """One row: n, mean, sample deviation, least, exact quartiles (linear interpolation), largest."""
-    q = lambda p: F.round(F.percentile(column, F.lit(p)), 4)
-    return df.agg(F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(column).alias("max"))
+    facts = df.agg(F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    quartiles = exact_quantiles(df, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    out = facts.crossJoin(F.broadcast(quartiles))
+    return out.select("n", "mean", "std", "min", *(F.round(q, 4).alias(q) for q in ("q25", "q50", "q75")), "max")
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: Mapping[str, float]) -> DataFrame:
+    """One row of the exact quantiles (linear interpolation) by name, null without values; no task holds more than a small share of the values.
+
+    Approximate quantiles on both sides enclose each; the values between are counted and ranked, with the number of those below.
+    Where the two do not enclose it, all values are ranked.
+    """
+    v = F.col("_v")
+    own = df.select(F.col(column).cast("double").alias("_v")).where(v.isNotNull())
+    sides = [min(1.0, max(0.0, p + d)) for p in shares.values() for d in (-MARGIN / ACCURACY, MARGIN / ACCURACY)]
+    first = own.agg(F.count("*").alias("n"), F.percentile_approx("_v", sides, ACCURACY).alias("sides"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    n = first["n"]
+    if n == 0:
+        return df.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(name) for name in shares))
+    bounds = list(zip(first["sides"][::2], first["sides"][1::2], strict=True))
+    between = lambda lo, hi: (v >= F.lit(lo)) & (v <= F.lit(hi))
+    counts = own.agg(*(c for i, (lo, hi) in enumerate(bounds) for c in (F.count_if(v < F.lit(lo)).alias(f"below{i}"), F.count_if(between(lo, hi)).alias(f"in{i}")))).first()
+    out = None
+    for i, ((name, p), (lo, hi)) in enumerate(zip(shares.items(), bounds, strict=True)):
+        place, below = p * (n - 1), counts[f"below{i}"]
+        low, high = math.floor(place), math.ceil(place)
+        if not (below <= low and high < below + counts[f"in{i}"]):
+            lo, hi, below = first["lo"], first["hi"], 0
+        run = own.where(between(lo, hi)).groupBy("_v").agg(F.count("*").alias("c")).withColumn("_run", F.sum("c").over(Window.partitionBy(F.lit(i)).orderBy("_v")) + below)
+        ends = run.agg(F.min(F.when(F.col("_run") > low, v)).alias("a"), F.min(F.when(F.col("_run") > high, v)).alias("b"))
+        one = ends.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((high - place) * F.col("a") + (place - low) * F.col("b")).alias(name))
+        out = one if out is None else out.crossJoin(one)
+    return out
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
