@@ -66,8 +66,10 @@ def industry_basket_daily(spark, sf_dir):
     w = ts.by_time(["entity"], ["date"])
     p = panel(spark, sf_dir).withColumns({"ret": ts.change("price", w), "high": ts.rolling_max("price", w, 60, 20)})
     industry = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("entity"), F.col("r_name").alias("industry"))
+    # A panel has one row for an entity and day: its members are counted by the first of an entity's rows in an industry, without a set of them.
+    industry = industry.groupBy("entity", "industry").agg(F.count("*").alias("_rows")).select("*", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))).alias("_row"))
     new_high = F.coalesce(F.col("price") >= F.col("high"), F.lit(False)).cast("int")
-    return p.join(industry, "entity").groupBy("date", "industry").agg(F.countDistinct("entity").alias("n_members"), r6(F.avg("ret"), "eq_return"), F.round(F.sum("amount"), 2).alias("total_amount"), r6(F.avg(new_high), "newhigh_ratio"))
+    return p.join(industry, "entity").groupBy("date", "industry").agg(F.count_if(F.col("_row") == 1).alias("n_members"), r6(F.avg("ret"), "eq_return"), F.round(F.sum("amount"), 2).alias("total_amount"), r6(F.avg(new_high), "newhigh_ratio"))
 
 
 def heat(spark, sf_dir, keys: list[str]) -> DataFrame:
