@@ -116,9 +116,9 @@ def factors(rows: DataFrame, key: str, cases: Sequence[tuple[str, Column, Column
     return rows.select(key, F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x")).select(key, "x.*")
 
 
-def findings(rows: DataFrame, key: str, cases: Sequence[tuple[Column, str]]) -> DataFrame:
-    """key, findings: the texts of the conditions that hold, in order; what is good when nothing fired."""
-    return rows.select(key, F.array_join(F.filter(F.array(*(F.when(c, t) for c, t in cases)), lambda x: x.isNotNull()), "; ").alias("findings"))
+def findings(rows: DataFrame, key: str, cases: Sequence[tuple[Column, str]], *more: Column) -> DataFrame:
+    """key, findings, ``more``: the texts of the conditions that hold, in order; what is good when nothing fired."""
+    return rows.select(key, F.array_join(F.filter(F.array(*(F.when(c, t) for c, t in cases)), lambda x: x.isNotNull()), "; ").alias("findings"), *more)
 
 
 def stale(ts: Column, now: Column, hours: int = 24) -> Column:

@@ -128,7 +128,7 @@ def negative_findings(spark, sf_dir):
     f = scoring.flags(spark, sf_dir)
     good = [(~F.col("latest_full_year_loss"), "profit in the latest year"), (~F.coalesce("cfo_persistently_negative", F.lit(False)), "cash flow not negative"), (~F.coalesce("gp_margin_drop_gt_5pp", F.lit(False)), "no drop")]
     healthy = good[0][0] & good[1][0] & good[2][0]
-    return documents.findings(f, "id", good).join(f.select("id", healthy.alias("healthy")), "id")
+    return documents.findings(f, "id", good, healthy.alias("healthy"))
 
 
 @query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) SELECT user_id, last, last < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR AS stale FROM l""")
