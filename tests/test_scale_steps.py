@@ -110,3 +110,33 @@ def test_plain_tables_are_read_as_the_parser_reads_them(monkeypatch):
         assert fast == [html_tables.rows(t) for t in texts]
     monkeypatch.setattr(html_tables, "_Cells", None)  # plain tables do without the parser
     assert html_tables.rows("<table><tr><td>a<br>b</td><td>c</table>") == [["a b", "c"]]
+
+
+def test_members_are_counted_without_sets_of_them(spark, tmp_path):
+    from tidemark.plans.market import industry_basket_daily
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("nation", "region", "lineitem"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    s.union(s.where("s_suppkey % 2 = 0")).write.parquet(f"{tmp_path}/supplier.parquet")  # repeated suppliers are one member
+    members = lambda path: {(r.date, r.industry): r.n_members for r in industry_basket_daily(spark, path).collect()}
+    assert members(str(tmp_path)) == members(sf)
+    assert "distinct" not in _plan(industry_basket_daily(spark, sf)).lower()
+
+
+def test_flags_are_made_once(spark):
+    from tidemark.plans.documents import negative_findings
+
+    optimised = negative_findings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised.count("Relation [c_custkey") == 1  # customers are read once
+
+
+def test_contents_pages_read_their_elements_once(spark):
+    from tidemark.operators import sections
+
+    rows = [(1, 1, 0, "title", "目錄"), (1, 2, 1, "text", "b ..... 2"), (1, 2, 0, "table", "a ..... 1"), (1, 3, 0, "text", "a ..... 1"), (1, 3, 1, "title", "b ..... 2"), (1, 4, 0, "text", None), (1, 5, 0, "header", "目錄"), (2, 1, 0, None, "x"), (2, 7, 0, "text", "x ..... 1\ny ..... 2")]
+    elements = spark.createDataFrame(rows, "doc int, page int, position int, category string, text string")
+    found = sections.contents_pages(elements)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (2, 7)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -26,13 +26,14 @@ def _with_text(elements: DataFrame, *categories: str) -> DataFrame:
 
 def contents_pages(elements: DataFrame) -> DataFrame:
     """doc, page of the first unbroken run of pages of contents among a document's first WITHIN pages."""
-    marked = _with_text(elements, "header", "title").where(plain_title(F.col("text")).isin(*MARKERS)).select("doc", "page").distinct().withColumn("_marked", F.lit(True))
-    body = page_texts(_with_text(elements, "text", "table"), ["doc", "page"], "position", "text")
+    of = lambda *categories: F.col("category").isin(*categories) & (F.trim("text") != "")
+    marked = F.bool_or(of("header", "title") & plain_title(F.col("text")).isin(*MARKERS))
     # Elements of a page follow each other by a line break, which is white space to the pattern.
-    led = body.where(F.regexp_count("text", F.lit(LEADERS)) >= LEAST_ENTRIES).select("doc", "page").withColumn("_led", F.lit(True))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(of("text", "table"), F.struct("position", "text")))), lambda x: x["text"]), "\n")
+    is_one = F.coalesce(marked, F.lit(False)) | (F.regexp_count(body, F.lit(LEADERS)) >= LEAST_ENTRIES)
     in_order = Window.partitionBy("doc").orderBy("page")
-    pages = elements.select("doc", "page").distinct().withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= WITHIN)
-    flagged = pages.join(marked, ["doc", "page"], "left").join(led, ["doc", "page"], "left").withColumn("_is", F.coalesce("_marked", "_led", F.lit(False)))
+    # One pass over the elements gives what a page is; there are no joins of pages with pages.
+    flagged = elements.groupBy("doc", "page").agg(is_one.alias("_is")).withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= WITHIN)
     # A run's pages have the same number of other pages before them; the first run has the least such number.
     others = F.sum((~F.col("_is")).cast("int")).over(in_order)
     runs = flagged.withColumn("_run", others).where("_is").withColumn("_first", F.min("_run").over(Window.partitionBy("doc")))
