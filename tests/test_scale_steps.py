@@ -140,3 +140,64 @@ def test_contents_pages_read_their_elements_once(spark):
     found = sections.contents_pages(elements)
     assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (2, 7)]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_by_labels_without_pieces_of_texts(spark):
+    from tidemark.operators import driver
+
+    rng = random.Random(5)
+    words = ["Cash", "Cash flow", "Net", "x", "  Net", "Total\n  assets", "Total\nassets", "Cash\r", "", "\t\x0bCash", "a Cash", "Netto", "\n", " Cash flows"]
+    labels, roles = ["Cash", "Cash flow", "Net", "Total\nassets", "", None, " Net", "Netto"], ["summary", "appendix", "other", None]
+    queries = [("t", True, 2, 1.0, labels, ["x"]), ("u", True, 0, 0.3, ["Net", "x"], []), ("s", False, 9, 0.5, ["Net", "Cash"], []), ("off", False, 0, 0.0, ["Net"], [])]
+    rows, number = [], 0
+    for doc in range(25):
+        for page in range(1, 13):
+            for _ in range(rng.choice([0, 1, 1, 1, 2])):
+                number += 1
+                rows.append((doc, number, page if rng.random() < 0.9 or number % 2 else None, rng.choice(["table", "table", "text", None]), rng.choice(roles), rng.choice([None, "\n".join(rng.choices(words, k=rng.randint(1, 4)))])))
+    hits = [(doc, field, n, rng.choice([0.02, 0.05, 0.2]), source) for doc, n, *_ in rows for field in "tus" for source in ("grep", "bm25") if rng.random() < 0.15]
+    chunks = spark.createDataFrame(rows, "doc int, chunk int, page int, category string, role string, text string")
+    asked = spark.createDataFrame([q[:5] for q in queries], "field string, whole_table boolean, min_labels int, score_scale double, labels array<string>")
+    found = driver.label_hits(chunks, asked)
+    optimised = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised(found).count("Join") == 1  # texts and their pieces are joined with nothing
+
+    def stands(text, label):  # behind a line's white space; a label of white space stands nowhere
+        lines = text.split("\n")
+        return any("\n".join(lines[i:]).lstrip(" \t\n\x0b\f\r").startswith(label) for i in range(len(lines)))
+
+    hit = {(d, f, n, w) for d, n, _, c, _, t in rows if c == "table" and t is not None for f, *_, own, _ in queries for w in own if w and stands(t, w)}
+    assert {w for *_, w in hit} == {"Cash", "Cash flow", "Net", "Total\nassets", "Netto", "x"}
+    assert sorted(map(tuple, found.collect())) == sorted(hit)
+
+    truth, at, order = [], {n: r for r in rows for n in [r[1]]}, {"appendix": 3, "summary": 2}
+    for field, whole, least, scale, *_ in queries[:3]:
+        for doc in range(25):
+            tables = {r[2] for r in rows if r[0] == doc and r[3] == "table"} - {None}
+            met = []
+            for n in (n for n, r in at.items() if r[0] == doc):
+                own, said = {w for d, f, m, w in hit if (d, f, m) == (doc, field, n)}, [h for h in hits if h[:3] == (doc, field, n)]
+                if own or said:
+                    met.append((at[n][2], n, max([h[3] for h in said] + [0.08 + 0.02 * len(own)] * bool(own)) * scale, {h[4] for h in said} | ({"row_label"} if own else set()), own))
+            if whole:
+                end = lambda p: max(p + i for i in range(4) if all(p + j in tables for j in range(i + 1)))  # noqa: B023, E731
+                met = [(p, n, s, c, end(p)) for p, n, s, c, _ in met if p is not None and at[n][3] == "table"]
+                count = lambda p, last: len({w for d, f, m, w in hit if (d, f) == (doc, field) and at[m][2] is not None and p <= at[m][2] <= last})  # noqa: B023, E731
+                packs, reach = [], 0
+                for m in sorted((m for m in met if count(m[0], m[4]) >= least), key=lambda m: (m[0], -m[2], m[1])):
+                    packs = packs if packs and m[0] <= reach else [*packs, []]
+                    packs[-1].append(m)
+                    reach = max(reach, m[4])
+                out = [(p[0][0], max(m[4] for m in p), at[p[0][1]][4], max(m[2] for m in p), set().union(*(m[3] for m in p)), max(count(m[0], m[4]) for m in p)) for p in packs]
+            else:
+                pages = {q[0]: sorted((m for m in met if m[0] == q[0]), key=lambda m: (-m[2], m[1])) for q in met}
+                out = [(p, p, at[m[0][1]][4], m[0][2], set().union(*(x[3] for x in m)), 0) for p, m in pages.items()]
+            out.sort(key=lambda e: (-order.get(e[2], 0), -e[3], e[0] is None, (e[0] or 0) - (e[1] or 0), e[0] or 0))
+            truth += [(doc, field, i, p, last, role, round(score, 9), sorted(sources), n) for i, (p, last, role, score, sources, n) in enumerate(out[: 3 if whole else 5], 1)]
+    evidence = driver.field_evidence(spark.createDataFrame(hits, "doc int, field string, chunk int, score double, source string"), chunks, asked)
+    ours = [(*r[:6], round(r.score, 9), *r[7:]) for r in evidence.collect()]
+    assert sorted(map(repr, ours)) == sorted(map(repr, truth))
+
+    from tidemark.plans.findings import agent_evidence
+
+    assert optimised(agent_evidence(spark, "/root/testdata/sf0.001")).count("Relation [conv_id") == 3  # for hits, labels and packs

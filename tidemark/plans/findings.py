@@ -115,8 +115,9 @@ def agent_evidence(spark, sf_dir):
     queries = spark.createDataFrame(_FIELDS, "field string, whole_table boolean, min_labels int, score_scale double, labels array<string>, terms array<string>")
     category, role = F.when(F.length("text") > 110, "table").otherwise("text"), F.when(F.col("turn") == 0, "summary").when(F.length("text") > 300, "appendix").otherwise("other")
     chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("chunk"), F.col("turn").alias("page"), category.alias("category"), role.alias("role"), "text")
-    # A dozen of queries goes with every chunk.
-    found = chunks.withColumn("q", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.array(*map(F.lit, terms)).alias("terms")) for f, *_, s, _, terms in _FIELDS if s > 0))))
-    hits = found.withColumn("n", F.size(F.filter("q.terms", lambda t: F.contains(F.lower("text"), t)))).where("n > 0").select("doc", "q.field", "chunk", (0.01 * F.col("n")).alias("score"), F.lit("grep").alias("source"))
+    # A dozen of queries goes with every chunk, whose text is lowered once.
+    lowered = chunks.select("doc", "chunk", F.lower("text").alias("low"))
+    found = lowered.withColumn("q", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.array(*map(F.lit, terms)).alias("terms")) for f, *_, s, _, terms in _FIELDS if s > 0))))
+    hits = found.withColumn("n", F.size(F.filter("q.terms", lambda t: F.contains("low", t)))).where("n > 0").select("doc", "q.field", "chunk", (0.01 * F.col("n")).alias("score"), F.lit("grep").alias("source"))
     out = driver.field_evidence(hits, chunks, queries.drop("terms"))
     return out.withColumns({"score": F.round("score", 9), "sources": F.array_join("sources", ",")})
