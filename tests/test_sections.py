@@ -1,5 +1,9 @@
 """Section maps on small documents: runs of contents, leaders, ranks of anchors, conflicts, offsets."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from tidemark.operators import sections
 
 SCHEMA = "doc long, page int, position int, category string, text string"
@@ -50,3 +54,45 @@ def test_contents_within_the_first_pages(spark):
 
 def test_empty(spark):
     assert all(x.isEmpty() for x in built(spark, []))
+
+
+def test_one_shuffle_of_the_elements(spark):
+    """Lines are read once and lie by document from then on: no key of few values (a section, a title) deals them anew."""
+    from tidemark.plans.sections import section_map_entries, section_map_spans
+
+    for made in (section_map_entries, section_map_spans):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning(doc") == 1
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(title" not in plan
+
+
+def test_many_aliases_are_few_ones(spark, monkeypatch):
+    from tidemark.operators import documents
+
+    rng = random.Random(11)
+    words = ["Risk", "Factors", "risk factors", "Business", "-", "  ", "Our", "摘要", ""]
+    titles = [(i, None if i % 17 == 0 else "".join(rng.choice(words) for _ in range(rng.randrange(5)))) for i in range(200)]
+    aliases = [("Risk", "risk", 3), ("Risk Factors", "risks", 2), ("factors", "factors", None), ("摘要", "summary", 1), ("Business!", None, 1), (None, "nothing", 0), ("--", "empty", 0), ("our", "us", 5)]
+    titles, aliases = spark.createDataFrame(titles, "i int, title string"), spark.createDataFrame(aliases, "alias string, section string, priority int")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    few = documents.canonical_titles(titles, "title", aliases)
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    mapped = [rows(x) for x in built(spark, ROWS)]
+    monkeypatch.setattr(documents, "FEW_ALIASES", 0)
+    monkeypatch.setattr(sections, "BROADCAST_ALIASES", -1)
+    assert rows(few) == rows(documents.canonical_titles(titles, "title", aliases)) and few.where("section IS NOT NULL").count() > 100
+    assert [rows(x) for x in built(spark, ROWS)] == mapped
+
+
+def test_entries_are_the_patterns(spark):
+    rng = random.Random(3)
+    pieces = ["a", "B c", ".", "..", ". .", "…", "·", "•", ".....", " ", "  ", "   ", "\t", "\n", "　", "1", "12", "iv", "XII-3", "ABCD-1", "x", "-", "目錄", "long " * 30]
+    texts = spark.createDataFrame([("".join(rng.choice(pieces) for _ in range(rng.randrange(18))),) for _ in range(1500)], "text string")
+    found = lambda pattern, k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
+    got = texts.select(found(sections.LED, 0).alias("a"), found(sections.LEADERS, 0).alias("b"), F.col("text").rlike(sections.ANY_LEADERS).alias("any")).collect()
+    assert all(r.a == r.b and (r.any or not r.b) for r in got) and sum(bool(r.b) for r in got) > 100
+    elements = texts.select(F.lit(1).alias("doc"), F.lit(1).alias("page"), F.monotonically_increasing_id().alias("position"), F.lit("table").alias("category"), "text")
+    entries = sections.section_map(elements, spark.createDataFrame(ALIASES, "alias string, section string, priority int"))[1].orderBy("entry").collect()
+    flat = texts.select(F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text")).select(F.explode(F.arrays_zip(found(sections.LEADERS, 1).alias("t"), found(sections.LEADERS, 2).alias("p"))).alias("x"))
+    want = flat.select(F.regexp_replace("x.t", r"^[ .…·•]+|[ .…·•]+$", ""), "x.p").collect()
+    assert [(r.title, r.printed) for r in entries] == [tuple(r) for r in want]

@@ -16,6 +16,8 @@ from tidemark.operators.text import substring_pairs
 BY_HEADER, BY_TITLE = 0.95, 0.8
 #: Fixed values of the section-first score: weight and cap of BM25, and what a character counts.
 BM25_WEIGHT, BM25_CAP, LENGTH_SCALE = 0.12, 10.0, 10_000.0
+#: Aliases that are looked for in each title; a row each goes to the driver, and with the plan to the tasks.
+FEW_ALIASES = 100
 #: A line of a table of contents: title, dots, page.
 TOC_LINE = r"(?m)^\s*(.{2,80}?)\s*[.．·…]{3,}\s*(\d{1,4})\s*$"
 
@@ -27,9 +29,18 @@ def plain_title(title: Column) -> Column:
 def canonical_titles(rows: DataFrame, title: str, aliases: DataFrame) -> DataFrame:
     """``rows`` with section: that of an alias equal to the plain title, else one that it begins with, else one that it contains.
 
-    ``aliases``: alias, section, priority; of equal matches the smaller priority. Neither side is bounded.
+    ``aliases``: alias, section, priority; of equal matches the smaller priority. Neither side is bounded: up to FEW_ALIASES are looked for
+    in each row, which stays where it is; more meet the distinct titles by their pieces.
     """
     a = aliases.select(plain_title(F.col("alias")).alias("alias"), "section", "priority")
+    few = a.limit(FEW_ALIASES + 1).collect()
+    if len(few) <= FEW_ALIASES:
+        known = sorted((row for row in few if row["alias"]), key=lambda row: (row["priority"] is not None, row["priority"], row["alias"]))
+        plain, section = F.col("_plain_title"), F.when(F.lit(False), F.lit(None))
+        for meets in (lambda x: plain == x, lambda x: plain.startswith(x), lambda x: F.contains(plain, x)):
+            for row in known:
+                section = section.when(meets(F.lit(row["alias"])), F.lit(row["section"]))
+        return rows.withColumn("_plain_title", plain_title(F.col(title))).select(*rows.columns, section.cast(a.schema["section"].dataType).alias("section"))
     distinct = rows.select(title).distinct().withColumn("plain", plain_title(F.col(title)))
     how = F.when(F.col("plain") == F.col("alias"), 0).when(F.col("plain").startswith(F.col("alias")), 1).otherwise(2)
     hit = distinct.join(substring_pairs(distinct, "plain", a, "alias"), "plain").join(a, "alias").groupBy(title).agg(F.min_by("section", F.struct(how, F.col("priority"), F.col("alias"))).alias("section"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.operators import sections
 from tidemark.plans.registry import registry
@@ -18,14 +17,15 @@ def elements(spark, sf_dir):
     """Each order's lines as pages, two after the number printed in the contents; a line's weekday is the page's header, title or text."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), F.date_format("l_shipdate", "EEEE").alias("weekday"), "l_linestatus", "l_returnflag")
     entry = F.concat("weekday", F.lit(" / "), "l_linestatus", F.lit(" ..... "), F.col("n").cast("string"))
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("n", "weekday", "l_linestatus"))
-    contents = lines.select("doc", F.lit(1).alias("page"), place.alias("position"), F.lit("text").alias("category"), entry.alias("text"))
     kind = F.when(F.col("l_returnflag") == "R", "header").when(F.col("l_returnflag") == "N", "title").otherwise("text")
-    return contents.union(lines.select("doc", F.col("n") + 2, F.lit(0), kind, "weekday"))
+    element = lambda page, position, category, text: F.struct(page.cast("int").alias("page"), position.alias("position"), category.alias("category"), text.alias("text"))
+    # Both elements of a line are made where it lies: by document, as the map needs them.
+    both = F.array(element(F.lit(1), F.col("n"), F.lit("text"), entry), element(F.col("n") + 2, F.lit(0), kind, F.col("weekday")))
+    return lines.repartition("doc").select("doc", F.inline(both))
 
 
 def _map(spark, sf_dir):
-    aliases = spark.createDataFrame([(m, m.lower(), i) for i, m in enumerate(DAYS)], "alias string, section string, priority int")
+    aliases = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{m}', '{m.lower()}', {i})" for i, m in enumerate(DAYS)) + " AS a(alias, section, priority)")
     return sections.section_map(elements(spark, sf_dir), aliases)
 
 
