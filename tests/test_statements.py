@@ -117,3 +117,21 @@ def test_field_pairs(spark):
     df = spark.createDataFrame([(1, html), (2, "Lotsize: 5"), (3, None), (4, "<table><tr><td>alone</td></tr><tr><td>Lot size</td><td></td></tr></table>")], "page int, html string")
     out = statements.field_pairs(df, "page", "html", {"price": ["Issueprice"], "lot": ["Lotsize"]}).collect()
     assert {(r.page, r.field): (r.value, r.position) for r in out} == {(1, "price"): ("5.5", 0), (1, "lot"): ("100", 0), (2, "lot"): ("5", 0)}
+
+
+def test_few_labels_make_no_row_for_each_beginning(spark, monkeypatch):
+    """Names are held against the labels of their code where they lie, and give what the joins on beginnings give."""
+    from tidemark.plans.statements import metric_extraction
+
+    rng = random.Random(2)
+    parts = ["收入", "收 入", "收益", "其他收入及收益", " ", "…", "．", "淨額", "及其他", "　", "\xa0", "資產總值", "合計", "負 債總額", "(1,234.5)", "2,000", "-5", "12", "x", "(", "\n", "\r\n", "  ", "\t", "1 000 ", "3.5 "]
+    texts = [(i, rng.choice(["IS", "BS"]), "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for i in range(150)]
+    df = spark.createDataFrame([*texts, (900, "IS", None), (901, None, "收入 1,000 2,000 3,000"), (902, "IS", "收入 1,000 2,000 3,000")], "doc int, code string, text string").repartition(3)
+    labels = LABELS | {"IS": LABELS["IS"] | {"BOTH": ["收 入", "收入", "收", "收"]}}
+    rows = lambda: sorted(map(repr, statements.metric_series(df, "doc", labels, REJECT, DEFAULT).collect()))
+    few = rows()
+    assert len(few) > 90
+    plan = metric_extraction(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct" not in plan and plan.count("Aggregate [_key") == 1
+    monkeypatch.setattr(statements, "FEW_LABELS", 0)
+    assert rows() == few

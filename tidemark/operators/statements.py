@@ -1,8 +1,8 @@
 """Financial statements: periods, labelled rows and metrics out of tables and text lines, all labels in one pass.
 
 A statement is a text (HTML with a table, or lines) of a document under a table code. Its rows are parsed once in Arrow batches;
-all else is column work. Every row name gives its beginnings in the lengths that labels have, which meet the labels of all metrics in
-one equality join: time follows the rows, not rows times labels. Ranked matches keep their row as evidence.
+all else is column work. A few labels are held against every row's name where it lies; with more, every name gives its beginnings in the
+lengths that labels have, which meet the labels of all metrics in one equality join. Ranked matches keep their row as evidence.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ CONTINUATION = r"^(現金流量淨額|现金净额|現金淨額|的現金淨額|
 HEADER_ROWS, HEADER_YEARS, LINE_NUMBERS = 8, 3, 3
 #: Labels that may be broadcast; more are joined by Spark's own choice.
 BROADCAST_LABELS = 50_000
+#: Labels that each name is held against where it lies; more are met by equality joins on beginnings of names.
+FEW_LABELS = 200
+#: White space as Unicode has it, and leaders behind a name.
+WHITE, LEADERS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", ".．…⋯"
 
 
 def periods(rows: Column) -> Column:
@@ -36,7 +40,7 @@ def periods(rows: Column) -> Column:
     column, if it is not one yet, where it alone has its year and interim columns stand before it, or where the headers name
     both the year's end and a day within the year.
     """
-    years = lambda row: F.filter(F.transform(row, lambda c: F.struct(F.regexp_extract(c, r"20\d{2}", 0).alias("year"), c.rlike(INTERIM).alias("interim"))), lambda c: c["year"] != "")
+    years = lambda row: F.transform(F.filter(row, lambda c: c.rlike(r"20\d{2}")), lambda c: F.struct(F.regexp_extract(c, r"20\d{2}", 0).alias("year"), c.rlike(INTERIM).alias("interim")))
     none = F.filter(F.array(F.struct(F.lit("").alias("year"), F.lit(False).alias("interim"))), lambda c: c["interim"])
     header = lambda head: F.coalesce(F.get(F.filter(F.transform(head, years), lambda r: F.size(r) >= HEADER_YEARS), F.lit(0)), none)
 
@@ -69,7 +73,9 @@ def _given(value: Column, use) -> Column:
 
 def row_numbers(cells: Column) -> Column:
     """Numbers of a row's cells after the first; dashes are null ones, blanks, notes' numbers (one or two digits) and words are left out."""
-    plain = F.transform(F.filter(F.slice(cells, 2, 1 << 30), lambda c: ~F.trim(c).rlike(r"^\d{0,2}$")), lambda c: F.regexp_replace(c, r"[, ]", ""))
+    # Longer cells are no notes' numbers, and commas and blanks go without a pattern.
+    long = lambda c: (F.length(F.trim(c)) > 4) | ~F.trim(c).rlike(r"^\d{0,2}$")
+    plain = F.transform(F.filter(F.slice(cells, 2, 1 << 30), long), lambda c: F.replace(F.replace(c, F.lit(","), F.lit("")), F.lit(" "), F.lit("")))
     read = F.transform(plain, lambda c: F.struct(plain_number(c).alias("value"), c.isin("–", "-", "—", "N/A", "n/a", "NA").alias("dash")))
     return F.transform(F.filter(read, lambda c: c["dash"] | c["value"].isNotNull()), lambda c: c["value"])
 
@@ -77,7 +83,7 @@ def row_numbers(cells: Column) -> Column:
 def plain_number(text: Column) -> Column:
     """The number of a text without separators, in brackets a negative one; null if it is none."""
     inside = F.regexp_extract(text, r"^\((.*)\)$", 1)
-    return F.when(inside != "", -inside.try_cast("double")).otherwise(text.try_cast("double"))
+    return F.when(text.startswith("(") & (inside != ""), -inside.try_cast("double")).otherwise(text.try_cast("double"))
 
 
 def line_numbers(text: Column) -> Column:
@@ -111,6 +117,32 @@ def matched(named: DataFrame, labels: DataFrame) -> DataFrame:
     return met.where(F.col("score").isNotNull() & ~F.exists("rejected", lambda w: F.contains(F.col("all"), w))).drop("rejected")
 
 
+def held_against(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` (code, line, name_0, all; of lines also name_1) with metric, m (probe, s, l, label) and length of the labels they meet as in
+    ``matched``: for lines the best label of each metric, for rows, which have one name, every one.
+
+    Few labels: a row is held against those of its code where it lies, and makes no row for each of its beginnings.
+    """
+    own = labels.distinct().withColumn("_of", F.collect_set("label").over(Window.partitionBy("code", "metric")))
+    label, names, texts = F.col("label"), (F.col("name_0"), F.col("name_1")), (F.col("_plain_0"), F.col("_plain_1"))
+
+    def scored(k: int, x: Column) -> Column:
+        begins = names[k].startswith(x)
+        return F.when(names[k] == x, EQUAL).when(texts[k] == x, EQUAL_WITHOUT_SPACES).when(begins & (F.length(names[k]) <= F.length(x) + ENDING), SHORT_ENDING).when(begins, BEGINS)
+
+    within = lambda k, x: F.when(names[k].startswith(x), F.length(x)).otherwise(0)
+    hit = lambda k, x: F.struct(F.lit(k).alias("probe"), (-scored(k, x)).alias("s"), (-within(k, x)).alias("l"), x.alias("label"))
+    meets = lambda k: names[k].startswith(label) | (texts[k] == label)
+    met = rows.withColumns({f"_plain_{k}": F.replace(f"name_{k}", F.lit(" "), F.lit("")) for k in (0, 1)}).alias("r")
+    met = met.join(F.broadcast(own.withColumnRenamed("code", "_code")), (F.col("code") == F.col("_code")) & F.coalesce(meets(0) | F.coalesce(meets(1), F.lit(False)), F.lit(False))).where(~F.exists("rejected", lambda w: F.contains(F.col("all"), w)))
+    hits = F.filter(F.concat(F.transform("_of", lambda x: hit(0, x)), F.transform("_of", lambda x: hit(1, x))), lambda h: h["s"].isNotNull())
+    length = F.when(F.col("line"), F.array_max(F.transform("_of", lambda x: F.greatest(within(0, x), within(1, x))))).otherwise(within(0, label))
+    best = F.when(F.col("line"), F.array_min(hits)).otherwise(hit(0, label))
+    # An array of one is a row of its own: the filter neither makes its value anew nor moves into the join.
+    met = met.select(*(c for c in rows.columns if c not in ("name_0", "name_1")), "metric", "label", length.alias("length"), F.explode(F.array(best)).alias("m"))
+    return met.where("NOT line OR label = m.label").drop("label")
+
+
 def metric_series(statements: DataFrame, key: str, labels: Mapping[str, Mapping[str, Sequence[str]]], reject: Mapping[str, Sequence[str]] | None = None, default_periods: Sequence[str] = (), code_col: str = "code", text_col: str = "text") -> DataFrame:
     """key, code, metric, period, value, source, position, label, evidence: one row per period of each metric found.
 
@@ -124,28 +156,32 @@ def metric_series(statements: DataFrame, key: str, labels: Mapping[str, Mapping[
     own = own.withColumn("rows", table_rows("text"))
     own = own.withColumn("periods", periods(F.col("rows")))
     own = own.withColumn("periods", F.when(F.size("periods") > 0, F.col("periods")).otherwise(F.array(*map(F.lit, default_periods)).cast("array<string>")))
-    table = label_table(statements.sparkSession, labels, reject or {})
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    clean = lambda c: strip(F.regexp_replace(strip(c), r"[.．…⋯]+$", ""))
+    strip = lambda c: F.btrim(c, F.lit(WHITE))
+    clean = lambda c: strip(F.rtrim(strip(c), F.lit(LEADERS)))
 
     # Rows (each with the one after it, not with its whole table) and lines are candidates of one pass: texts are read and parsed once.
     none = F.array().cast("array<string>")
     first_cell = lambda cells: clean(F.coalesce(F.get(cells, F.lit(0)), F.lit("")))
-    one = lambda line, names, whole, cells, following: F.struct(F.lit(line).alias("line"), names.alias("names"), whole.alias("all"), cells.alias("cells"), following.alias("next"))
-    rows = F.zip_with("rows", F.slice("rows", 2, 1 << 30), lambda a, b: one(False, F.array(first_cell(a)), first_cell(a), F.coalesce(a, none), F.coalesce(b, none)))
-    head = lambda line: strip(F.regexp_extract(line, r"(?U)^(.*?)(?:\s{2,}|\t|(?=\d)|$)", 1))
-    lines = F.transform(F.transform(F.split("text", r"\r\n|[\r\n]"), strip), lambda x: one(True, F.array(clean(F.when(head(x) != "", head(x)).otherwise(F.substring(x, 1, 40))), clean(F.substring(x, 1, 48))), x, none, none))
-    found = own.select("_key", "code", "periods", F.explode(F.array(F.transform(rows, lambda r, i: F.struct(i.alias("position"), r.alias("c"))), F.transform(lines, lambda r, i: F.struct(i.alias("position"), r.alias("c"))))).alias("_all"))
-    found = found.select("_key", "code", "periods", F.explode("_all").alias("x")).select("_key", "code", "periods", "x.position", "x.c.*")
-    found = found.select("*", F.posexplode("names").alias("probe", "name")).drop("names")
-    found = matched(found, table)
-    found = found.groupBy("_key", "code", "metric", "line", "position").agg(
-        F.min(F.struct("probe", (-F.col("score")).alias("s"), (-F.col("length")).alias("l"), "label")).alias("m"), F.max("length").alias("length"), *(F.any_value(c).alias(c) for c in ("periods", "all", "cells", "next")),
-    )
+    one = lambda line, i, text, cells, following: F.struct(F.lit(line).alias("line"), i.alias("position"), text.alias("all"), cells.alias("cells"), following.alias("next"))
+    rows = F.transform("rows", lambda cells, i: one(False, i, F.lit("").cast("string"), F.coalesce(cells, none), F.coalesce(F.get("rows", i + 1), none)))
+    lines = F.transform(F.split("text", r"\r\n|[\r\n]"), lambda x, i: one(True, i, x, none, none))
+    found = own.select("_key", "code", "periods", F.inline(F.concat(rows, lines))).withColumn("all", F.when(F.col("line"), strip("all")).otherwise(first_cell("cells")))
+    head = F.nullif(strip(F.regexp_extract("all", r"(?U)^(.*?)(?:\s{2,}|\t|(?=\d)|$)", 1)), F.lit(""))
+    found = found.withColumn("name_0", F.when(F.col("line"), clean(F.coalesce(head, F.substring("all", 1, 40)))).otherwise(F.col("all")))
+    found = found.withColumn("name_1", F.when(F.col("line"), clean(F.substring("all", 1, 48))))
+    table = label_table(statements.sparkSession, labels, reject or {})
+    if sum(len(names) for metrics in labels.values() for names in metrics.values()) <= FEW_LABELS:
+        found = held_against(found, table)
+    else:
+        names = F.when(F.col("line"), F.array("name_0", "name_1")).otherwise(F.array("name_0"))
+        found = matched(found.select("*", F.posexplode(names).alias("probe", "name")).drop("name_0", "name_1"), table)
+        found = found.groupBy("_key", "code", "metric", "line", "position").agg(
+            F.min(F.struct("probe", (-F.col("score")).alias("s"), (-F.col("length")).alias("l"), "label")).alias("m"), F.max("length").alias("length"), *(F.any_value(c).alias(c) for c in ("periods", "all", "cells", "next")),
+        )
 
     row = ~F.col("line")
     own_numbers = F.when(row, row_numbers(F.col("cells"))).otherwise(line_numbers(F.substring(F.col("all"), F.col("length") + 1, F.length("all"))))
-    found = found.withColumn("numbers", own_numbers)
+    found = found.select("*", F.explode(F.array(own_numbers)).alias("numbers"))  # made once, not again for the filter
     found = found.withColumn("continued", row & (F.size("numbers") == 0) & first_cell(F.col("next")).rlike(CONTINUATION))
     found = found.withColumn("numbers", F.when(F.col("continued"), row_numbers(F.col("next"))).otherwise(F.col("numbers"))).where(F.size("numbers") >= F.when(row, 1).otherwise(LINE_NUMBERS))
     score = F.when(F.col("continued"), F.greatest(-F.col("m.s"), F.lit(CONTINUED))).otherwise(-F.col("m.s"))

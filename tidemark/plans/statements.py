@@ -55,25 +55,27 @@ def _statements(spark, sf_dir):
     Segments write differently: names with a space within, leaders after them, notes' numbers, brackets, totals that are left out
     or wrong, rows that look like a metric's.
     """
-    years = F.array_sort(F.collect_list(F.struct("year", *(F.col(c) for c in ("rev", "oi", "cogs", "gp", "net", "nca", "ca", "cl", "ncl", "ta", "tl", "na")))))
-    o = _amounts(spark, sf_dir).groupBy("o_custkey", "segment").agg(years.alias("y"))
     money = lambda x: F.when(x < 0, F.concat(F.lit("("), F.format_number(-x, 0), F.lit(")"))).otherwise(F.format_number(x, 0))
-    cells = lambda tag, value: F.array_join(F.transform("y", lambda r: F.concat(F.lit(f"<{tag}>"), value(r), F.lit(f"</{tag}>"))), "")
+    # Amounts are written before they are gathered, each once.
+    written = {c: money(F.col(c)) for c in ("oi", "rev", "gp", "net")} | {"cogs": money(-F.col("cogs"))} | {c: F.concat(F.format_number(F.col(c), 0), F.lit(".00")) for c in ("nca", "ca", "cl", "ncl", "ta", "tl", "na")}
+    years = F.array_sort(F.collect_list(F.struct("year", F.concat(F.col("year").cast("string"), F.lit("年")).alias("name"), F.lit("999").alias("odd"), F.lit("1,000").alias("thousand"), F.lit("1,000.00").alias("low"), *(c.alias(n) for n, c in written.items()))))
+    o = _amounts(spark, sf_dir).groupBy("o_custkey", "segment").agg(years.alias("y"))
+    cells = lambda tag, value: F.concat(F.lit(f"<{tag}>"), F.array_join(F.col(f"y.{value}"), f"</{tag}><{tag}>"), F.lit(f"</{tag}>"))
     row = lambda name, value: F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>4</td>"), cells("td", value), F.lit("</tr>"))
-    head = F.concat(F.lit("<tr><th></th><th>附註</th>"), cells("th", lambda r: F.concat(r["year"].cast("string"), F.lit("年"))), F.lit("</tr>"))
+    head = F.concat(F.lit("<tr><th></th><th>附註</th>"), cells("th", "name"), F.lit("</tr>"))
     spaced = F.when(F.col("segment") == "BUILDING", "收 入").when(F.col("segment") == "MACHINERY", "收入．．．．").otherwise("收入")
     income = F.concat(
-        F.lit("<p>千元</p><table>"), head, row(F.lit("其他收入及收益"), lambda r: money(r["oi"])), row(F.lit("收入其他收益"), lambda r: F.lit("999")), row(spaced, lambda r: money(r["rev"])),
-        row(F.lit("銷售成本"), lambda r: money(-r["cogs"])), row(F.lit("毛利。"), lambda r: money(r["gp"])), row(F.lit("年內利潤"), lambda r: money(r["net"])), F.lit("</table>"),
+        F.lit("<p>千元</p><table>"), head, row(F.lit("其他收入及收益"), "oi"), row(F.lit("收入其他收益"), "odd"), row(spaced, "rev"),
+        row(F.lit("銷售成本"), "cogs"), row(F.lit("毛利。"), "gp"), row(F.lit("年內利潤"), "net"), F.lit("</table>"),
     )
-    line = lambda name, value: F.concat(F.lit(name), F.lit(" "), F.array_join(F.transform("y", lambda r: F.concat(F.format_number(value(r), 0), F.lit(".00"))), " "))
-    stated = F.when(F.col("segment") == "FURNITURE", "").when(F.col("segment") == "HOUSEHOLD", F.concat(line("總資產", lambda r: F.expr("1000") + 0 * r["ta"]), F.lit("\n"))).otherwise(F.concat(line("資產總值", lambda r: r["ta"]), F.lit("\n")))
-    liabilities = F.when(F.col("segment") == "AUTOMOBILE", "").otherwise(F.concat(line("負 債總額", lambda r: r["tl"]), F.lit("\n")))
+    line = lambda name, value: F.concat(F.lit(name), F.lit(" "), F.array_join(F.col(f"y.{value}"), " "))
+    stated = F.when(F.col("segment") == "FURNITURE", "").when(F.col("segment") == "HOUSEHOLD", F.concat(line("總資產", "low"), F.lit("\n"))).otherwise(F.concat(line("資產總值", "ta"), F.lit("\n")))
+    liabilities = F.when(F.col("segment") == "AUTOMOBILE", "").otherwise(F.concat(line("負 債總額", "tl"), F.lit("\n")))
     balance = F.concat(
-        F.lit("千元 "), F.array_join(F.transform("y", lambda r: F.concat(r["year"].cast("string"), F.lit("年"))), " "), F.lit("\n"), line("資產總值減流動負債", lambda r: r["na"]), F.lit("\n"), line("非流動資產總值", lambda r: r["nca"]), F.lit("\n"), line("流動資產總值", lambda r: r["ca"]), F.lit("\n"),
-        stated, line("流動負債總額", lambda r: r["cl"]), F.lit("\n"), line("非流動負債總額", lambda r: r["ncl"]), F.lit("\n"), liabilities, line("權益總額", lambda r: r["na"]),
+        F.lit("千元 "), F.array_join("y.name", " "), F.lit("\n"), line("資產總值減流動負債", "na"), F.lit("\n"), line("非流動資產總值", "nca"), F.lit("\n"), line("流動資產總值", "ca"), F.lit("\n"),
+        stated, line("流動負債總額", "cl"), F.lit("\n"), line("非流動負債總額", "ncl"), F.lit("\n"), liabilities, line("權益總額", "na"),
     )
-    flows = F.concat(F.lit("<table>"), head, F.lit("<tr><td>經營活動所得／（所用）</td></tr>"), row(F.lit("現金流量淨額"), lambda r: money(r["net"])), row(F.lit("投資活動"), lambda r: F.lit("1,000")), F.lit("</table>"))
+    flows = F.concat(F.lit("<table>"), head, F.lit("<tr><td>經營活動所得／（所用）</td></tr>"), row(F.lit("現金流量淨額"), "net"), row(F.lit("投資活動"), "thousand"), F.lit("</table>"))
     texts = [("TBL_IS", income), ("TBL_BS", balance), ("TBL_CF", flows)]
     # Three years make a header; customers with fewer fall back on the default periods, which the SQL below leaves out with them.
     return o.where(F.size("y") >= statements.HEADER_YEARS).select("o_custkey", F.inline(F.array(*(F.struct(F.lit(c).alias("code"), t.alias("text")) for c, t in texts))))
